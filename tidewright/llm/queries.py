@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewright.llm import canonical_text, encoding_repair, mixing, nearest_time
+from tidewright.llm import canonical_text, encoding_repair, language_segments, mixing, nearest_time
 from tidewright.session import read_table
 
 
+def p1_segments(spark, sf):
+    """Every piece, stretch by stretch, with language and confidence."""
+    return language_segments.language_segments(read_table(spark, sf, "load_corpora"), "piece_id", "text", "lang")
+
+
+def p1_found(spark, sf):
+    return p1_segments(spark, sf).where("NOT label_ok AND lang IS NOT NULL").select("piece_id", "seg", "lang")
+
+
 def p2_repaired(spark, sf):
     """Every piece with its restored text."""
     return encoding_repair.repair_encoding(read_table(spark, sf, "load_corpora"), "piece_id", "text")
@@ -65,7 +74,7 @@ def p8_mix(spark, sf):
     return mix
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_repaired, p4_found, p4_classes, p6_found, p6_all_detections, p8_found, p8_report, p8_mix)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_repaired, p4_found, p4_classes, p6_found, p6_all_detections, p8_found, p8_report, p8_mix)}
 ORACLES = {
     "p6_found": f"{P6_SQL} SELECT det_id, stim_id FROM m WHERE r = 1",
     "p6_all_detections": f"{P6_SQL}, i AS (SELECT DISTINCT det_id FROM det_mad WHERE det_id IS NOT NULL) SELECT i.det_id, stim_id, diff AS diff_us FROM i LEFT JOIN (SELECT * FROM m WHERE r = 1) b ON i.det_id = b.det_id",
