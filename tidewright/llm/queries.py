@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewright.llm import canonical_text, encoding_repair, language_segments, mixing, nearest_time
+from tidewright.llm import canonical_text, encoding_repair, language_segments, leakage, mixing, nearest_time
 from tidewright.session import read_table
 
 
@@ -58,6 +58,15 @@ m AS (SELECT det_id, stim_id, epoch_us(s.ts) - epoch_us(d.ts) AS diff,
       FROM d JOIN s ON d.rec = s.rec AND s.ts BETWEEN d.ts - INTERVAL 500 MICROSECOND AND d.ts + INTERVAL 500 MICROSECOND)"""
 
 
+def p7_leaks(spark, sf):
+    """Each leaked item of each post, with the words of its longest passage."""
+    return leakage.leaked_passages(read_table(spark, sf, "documents"), read_table(spark, sf, "eval_items"), "doc_id", "text", "item_id", "item_text")
+
+
+def p7_found(spark, sf):
+    return p7_leaks(spark, sf).select("doc_id", "item_id")
+
+
 def p8_found(spark, sf):
     return p8_report(spark, sf).where("NOT reachable").select("source")
 
@@ -74,7 +83,7 @@ def p8_mix(spark, sf):
     return mix
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_repaired, p4_found, p4_classes, p6_found, p6_all_detections, p8_found, p8_report, p8_mix)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_repaired, p4_found, p4_classes, p6_found, p6_all_detections, p7_found, p7_leaks, p8_found, p8_report, p8_mix)}
 ORACLES = {
     "p6_found": f"{P6_SQL} SELECT det_id, stim_id FROM m WHERE r = 1",
     "p6_all_detections": f"{P6_SQL}, i AS (SELECT DISTINCT det_id FROM det_mad WHERE det_id IS NOT NULL) SELECT i.det_id, stim_id, diff AS diff_us FROM i LEFT JOIN (SELECT * FROM m WHERE r = 1) b ON i.det_id = b.det_id",
