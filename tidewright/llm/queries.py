@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewright.llm import canonical_text, encoding_repair, language_segments, leakage, mixing, nearest_time
+from tidewright.llm import canonical_text, encoding_repair, language_segments, leakage, mixing, nearest_time, spam_pages
 from tidewright.session import read_table
 
 
@@ -83,7 +83,16 @@ def p8_mix(spark, sf):
     return mix
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_repaired, p4_found, p4_classes, p6_found, p6_all_detections, p7_found, p7_leaks, p8_found, p8_report, p8_mix)}
+def p9_pages(spark, sf):
+    """Every post with its spam probability before and after smoothing."""
+    return spam_pages.spam_pages(read_table(spark, sf, "documents"), "doc_id", "text", "source")
+
+
+def p9_found(spark, sf):
+    return p9_pages(spark, sf).where("is_spam").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_repaired, p4_found, p4_classes, p6_found, p6_all_detections, p7_found, p7_leaks, p8_found, p8_report, p8_mix, p9_found, p9_pages)}
 ORACLES = {
     "p6_found": f"{P6_SQL} SELECT det_id, stim_id FROM m WHERE r = 1",
     "p6_all_detections": f"{P6_SQL}, i AS (SELECT DISTINCT det_id FROM det_mad WHERE det_id IS NOT NULL) SELECT i.det_id, stim_id, diff AS diff_us FROM i LEFT JOIN (SELECT * FROM m WHERE r = 1) b ON i.det_id = b.det_id",
