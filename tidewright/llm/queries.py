@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewright.llm import canonical_text, encoding_repair, language_segments, leakage, mixing, nearest_time, spam_pages
+from tidewright.llm import canonical_text, encoding_repair, language_segments, leakage, mixing, nearest_time, spam_pages, vector_neighbors
 from tidewright.session import read_table
 
 
@@ -26,6 +26,32 @@ def p2_found(spark, sf):
     return p2_repaired(spark, sf).where("damaged").select("piece_id")
 
 
+def _fields(spark, sf):
+    """(field, usable vectors, size, largest distance of a case)."""
+    rates = vector_neighbors.usable_vectors(read_table(spark, sf, "decoding_trials"), "trial_id", "rates", 22)
+    windows = read_table(spark, sf, "geoknn_windows")
+    shaped = F.when((F.size("x_train") == 64) & F.forall("x_train", lambda r: r.isNotNull() & (F.size(r) == 8)), F.flatten("x_train"))
+    return [("rates", rates, 22, 0.5), ("x_train", vector_neighbors.usable_vectors(windows, "window_id", shaped, 512), 512, 12.0)]
+
+
+def p3_found(spark, sf):
+    out = None
+    for field, vectors, size, far in _fields(spark, sf):
+        near = vector_neighbors.nearest_vectors(vectors, 5, size, max_distance=far)
+        pairs = near.select(F.lit(field).alias("field"), F.least("id", "neighbour").alias("id_lo"), F.greatest("id", "neighbour").alias("id_hi")).distinct()
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+def p3_neighbors(spark, sf):
+    """The 5 nearest of every vector whose id is divisible by 20, among all vectors of its field."""
+    out = None
+    for field, vectors, size, _ in _fields(spark, sf):
+        near = vector_neighbors.nearest_vectors(vectors, 5, size, queries="id % 20 = 0").select(F.lit(field).alias("field"), "id", "neighbour", "distance", "place")
+        out = near if out is None else out.unionByName(near)
+    return out
+
+
 def p4_found(spark, sf):
     pairs = canonical_text.look_alike_pairs(read_table(spark, sf, "load_corpora"), "piece_id", "text")
     return pairs.select(F.col("lo").alias("piece_lo"), F.col("hi").alias("piece_hi"))
@@ -92,7 +118,7 @@ def p9_found(spark, sf):
     return p9_pages(spark, sf).where("is_spam").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_repaired, p4_found, p4_classes, p6_found, p6_all_detections, p7_found, p7_leaks, p8_found, p8_report, p8_mix, p9_found, p9_pages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_repaired, p3_found, p3_neighbors, p4_found, p4_classes, p6_found, p6_all_detections, p7_found, p7_leaks, p8_found, p8_report, p8_mix, p9_found, p9_pages)}
 ORACLES = {
     "p6_found": f"{P6_SQL} SELECT det_id, stim_id FROM m WHERE r = 1",
     "p6_all_detections": f"{P6_SQL}, i AS (SELECT DISTINCT det_id FROM det_mad WHERE det_id IS NOT NULL) SELECT i.det_id, stim_id, diff AS diff_us FROM i LEFT JOIN (SELECT * FROM m WHERE r = 1) b ON i.det_id = b.det_id",
