@@ -153,7 +153,7 @@ def usable_vectors(df: DataFrame, id_col: str, vector, size: int) -> DataFrame:
     return rows.where(sound)
 
 
-def nearest_vectors(vectors: DataFrame, k: int, size: int, max_distance: float | None = None, queries: str | None = None, target_recall: float = 0.95, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def nearest_vectors(vectors: DataFrame, k: int, size: int, max_distance: float | None = None, queries: str | None = None, target_recall: float = 0.985, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Rows (id, neighbour, distance, place) for vectors (id, v array<double>), at most k per id, nearest first.
 
     Equal distances are ordered by id; a vector isn't its own neighbour but its copies are. With
