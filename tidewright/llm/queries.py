@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewright.llm import canonical_text, encoding_repair, language_segments, leakage, mixing, nearest_time, spam_pages, vector_neighbors
+from tidewright.llm import canonical_text, encoding_repair, language_segments, leakage, mixing, nearest_time, shape_clusters, spam_pages, vector_neighbors
 from tidewright.session import read_table
 
 
@@ -62,6 +62,29 @@ def p4_classes(spark, sf):
     return canonical_text.look_alike_classes(read_table(spark, sf, "load_corpora"), "piece_id", "text").select("piece_id", "class_id", "spellings", "members", "canonical")
 
 
+def _clusters(spark, sf):
+    return shape_clusters.shape_clusters(read_table(spark, sf, "spike_waveforms"), "spike_id", "waveforms", 91)
+
+
+def p5_members(spark, sf):
+    """Every spike with its cluster, null where it belongs to none."""
+    return _clusters(spark, sf)[0]
+
+
+def p5_clusters(spark, sf):
+    """Every cluster with its size, medoid and most typical spikes."""
+    return _clusters(spark, sf)[1]
+
+
+def p5_found(spark, sf):
+    members = _clusters(spark, sf)[0].where("cluster IS NOT NULL")
+    pairs = read_table(spark, sf, "sort_pairs").select(F.least("spike_a", "spike_b").alias("spike_lo"), F.greatest("spike_a", "spike_b").alias("spike_hi"))
+    pairs = pairs.where("spike_lo < spike_hi").distinct()
+    a = members.select(F.col("spike_id").alias("spike_lo"), F.col("cluster").alias("c1"))
+    b = members.select(F.col("spike_id").alias("spike_hi"), F.col("cluster").alias("c2"))
+    return pairs.join(a, "spike_lo").join(b, "spike_hi").where("c1 = c2").select("spike_lo", "spike_hi")
+
+
 def _nearest(spark, sf, **kw):
     det, stim = read_table(spark, sf, "det_mad"), read_table(spark, sf, "stimulator_spikes")
     return nearest_time.nearest_in_time(det, stim, "det_id", "stim_id", "rec", "rec", "ts", "ts", 500, **kw)
@@ -118,7 +141,7 @@ def p9_found(spark, sf):
     return p9_pages(spark, sf).where("is_spam").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_repaired, p3_found, p3_neighbors, p4_found, p4_classes, p6_found, p6_all_detections, p7_found, p7_leaks, p8_found, p8_report, p8_mix, p9_found, p9_pages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_repaired, p3_found, p3_neighbors, p4_found, p4_classes, p5_found, p5_members, p5_clusters, p6_found, p6_all_detections, p7_found, p7_leaks, p8_found, p8_report, p8_mix, p9_found, p9_pages)}
 ORACLES = {
     "p6_found": f"{P6_SQL} SELECT det_id, stim_id FROM m WHERE r = 1",
     "p6_all_detections": f"{P6_SQL}, i AS (SELECT DISTINCT det_id FROM det_mad WHERE det_id IS NOT NULL) SELECT i.det_id, stim_id, diff AS diff_us FROM i LEFT JOIN (SELECT * FROM m WHERE r = 1) b ON i.det_id = b.det_id",
