@@ -62,11 +62,14 @@ class Router:
         return out
 
 
-def _nearest(a: np.ndarray, b: np.ndarray, k: int, same: bool = False) -> np.ndarray:
-    d = (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T
-    if same:
-        np.fill_diagonal(d, np.inf)
-    return np.argpartition(d, min(k, d.shape[1] - 1), axis=1)[:, :k]
+def _nearest(x: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest other rows of each row, in blocks of 256 rows."""
+    out, norms = np.empty((len(x), k), np.int32), (x**2).sum(1)
+    for at in range(0, len(x), 256):
+        d = norms[None] - 2 * x[at : at + 256] @ x.T
+        d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
+        out[at : at + 256] = np.argpartition(d, k - 1, axis=1)[:, :k]
+    return out
 
 
 def cut_graph(x: np.ndarray, neighbours: np.ndarray, parts: int, rounds: int = 8) -> np.ndarray:
@@ -120,7 +123,7 @@ def fit_router(x: np.ndarray, parts: int, k: int, target_recall: float, seed: in
     if parts <= 1 or n <= 4 * parts:
         return Router(mean, scale, np.zeros((d, 1)), np.zeros(1), 1)
     s = (x - mean) / scale
-    near = _nearest(s, s, min(10, n - 1), same=True)
+    near = _nearest(s, min(10, n - 1))
     label = cut_graph(s, near, parts)
     soft = np.zeros((n, parts))
     soft[np.arange(n), label] += 1
@@ -145,6 +148,11 @@ def fit_router(x: np.ndarray, parts: int, k: int, target_recall: float, seed: in
     return Router(mean, scale, w, b, probes)
 
 
+def _packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in parts:
+        yield pd.DataFrame({"b": [np.asarray(v, dtype=float).tobytes() for v in pdf["v"]]})
+
+
 def usable_vectors(df: DataFrame, id_col: str, vector, size: int) -> DataFrame:
     """Rows (id, v): vectors of ``size`` numbers without null or NaN and not all zero, once per id."""
     v = vector if not isinstance(vector, str) else F.col(vector)
@@ -159,30 +167,37 @@ def nearest_vectors(vectors: DataFrame, k: int, size: int, max_distance: float |
     Equal distances are ordered by id; a vector isn't its own neighbour but its copies are. With
     ``max_distance`` only neighbours within it are sought. ``queries`` is a condition on ``id`` that picks the
     asking vectors (default: all); they are compared with all vectors. The router is fitted on at most
-    ``sample_rows`` distinct vectors, drawn by hash. Rows of one id that repeat count once (one of them is
+    ``sample_rows`` vectors (and an eighth), drawn by hash. Rows of one id that repeat count once (one of them is
     taken if they differ). No vectors give no rows, a single one has no neighbours.
     """
     spark = vectors.sparkSession
     id_type = vectors.schema["id"].dataType.simpleString()
-    packed = vectors.groupBy("id").agg(F.min("v").alias("v")).withColumn("g", F.xxhash64("v"))
-    packed = checkpointed(packed)
+    hashed = vectors.select("id", "v", F.xxhash64("v").alias("g1"), F.xxhash64("v", F.lit(1)).alias("g2"))
+    # vectors are named by 128 bits of hash, so the bookkeeping of ids and copies moves no vector
+    ids = checkpointed(hashed.groupBy("id").agg(F.min(F.struct("g1", "g2")).alias("g")).select("id", "g.g1", "g.g2"))
     # the k + 1 smallest ids of each group of copies, in two steps so that no task sorts a whole group
-    salted = Window.partitionBy("g", "v", "salt").orderBy("id")
-    first = packed.select("g", "v", "id", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k + 1)
-    final = Window.partitionBy("g", "v").orderBy("id")
+    salted = Window.partitionBy("g1", "g2", "salt").orderBy("id")
+    first = ids.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("r", F.row_number().over(salted)).where(F.col("r") <= k + 1)
+    final = Window.partitionBy("g1", "g2").orderBy("id")
     members = first.withColumn("r", F.row_number().over(final)).where(F.col("r") <= k + 1)
-    reps = checkpointed(members.groupBy("g", "v").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids")).select("rep", "g", "v", "ids"))
+    reps = members.groupBy("g1", "g2").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids"))
+    ask = ids.where(queries) if queries else ids
+    if queries:
+        reps = reps.join(ask.select("g1", "g2").distinct().withColumn("asks", F.lit(True)), ["g1", "g2"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+    else:
+        reps = reps.withColumn("asks", F.lit(True))
+    reps = checkpointed(reps)
 
     n = reps.count()
-    sample = np.array([r["v"] for r in reps.orderBy(F.xxhash64("rep", F.lit(1)), "rep").limit(sample_rows).select("v").collect()], dtype=float).reshape(-1, size)
     if n == 0:
         return spark.createDataFrame([], f"id {id_type}, neighbour {id_type}, distance double, place int")
+    share = min(1.0, sample_rows / n)
+    drawn = vectors.where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000)).limit(sample_rows + sample_rows // 8)
+    raw = drawn.mapInPandas(_packed, "b binary").toLocalIterator()  # at most 9/8 of sample_rows vectors
+    sample = np.unique(np.frombuffer(b"".join(r["b"] for r in raw), dtype=np.float64).reshape(-1, size), axis=0)
     parts = max(1, min(math.ceil(n / PART_ROWS), len(sample) // 16, 256))
-    shared = spark.sparkContext.broadcast(fit_router(sample, parts, k, target_recall))
-
-    ask = packed.where(queries) if queries else packed
-    asking = ask.select("g", "v").distinct().withColumn("asks", F.lit(True)) if queries else None
-    base = reps.join(asking, ["g", "v"], "left").select("rep", "v", F.coalesce("asks", F.lit(False)).alias("asks")) if queries else reps.select("rep", "v", F.lit(True).alias("asks"))
+    shared = spark.sparkContext.broadcast(fit_router(sample, parts, k, target_recall) if len(sample) else Router(np.zeros(size), 1.0, np.zeros((size, 1)), np.zeros(1), 1))
+    base = hashed.join(reps.select(F.col("rep").alias("id"), "g1", "g2", "asks"), ["id", "g1", "g2"]).select(F.col("id").alias("rep"), "v", "asks")
 
     def route(parts_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         router = shared.value
@@ -195,7 +210,7 @@ def nearest_vectors(vectors: DataFrame, k: int, size: int, max_distance: float |
             raw = [r.tobytes() for r in x]
             yield pd.DataFrame({"rep": pdf["rep"], "b": raw, "home": home, "probe": [np.flatnonzero(p).tolist() if a else [] for p, a in zip(probe, pdf["asks"])]})
 
-    routed = checkpointed(base.mapInPandas(route, f"rep {id_type}, b binary, home int, probe array<int>"))
+    routed = checkpointed(base.mapInPandas(route, f"rep {id_type}, b binary, home int, probe array<int>").dropDuplicates(["rep"]))
     # one row per part: at most 256
     sizes = routed.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("nb"))
     asked = routed.select(F.explode("probe").alias("home")).groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("nq"))
@@ -231,6 +246,6 @@ def nearest_vectors(vectors: DataFrame, k: int, size: int, max_distance: float |
     found = merged.join(ids_of, "near").select("rep", F.explode("ids").alias("neighbour"), "d")
     copies = reps.where(F.size("ids") > 1).select("rep", F.explode("ids").alias("neighbour"), F.lit(0.0).alias("d"))
     lists = found.unionByName(copies).groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.col("d"), F.col("neighbour")))), 1, k + 1).alias("n"))
-    whose = ask.select("g", "v", "id").join(reps.select("g", "v", "rep"), ["g", "v"]).select("id", "rep")
+    whose = ask.join(reps.select("g1", "g2", "rep"), ["g1", "g2"]).select("id", "rep")
     own = whose.join(lists, "rep").select("id", F.slice(F.filter("n", lambda e: e["neighbour"] != F.col("id")), 1, k).alias("n"))
     return own.select("id", F.posexplode("n").alias("p", "e")).select("id", F.col("e.neighbour").alias("neighbour"), F.col("e.d").alias("distance"), (F.col("p") + 1).alias("place"))
