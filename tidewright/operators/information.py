@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.series import indexed
+
 METHODS = ("plugin", "miller_madow", "shuffle")
 
 
@@ -70,16 +72,18 @@ def shuffled_labels(trials: DataFrame, trial_id: str, stimulus: str, b: int, see
     """Each of ``b`` permutations of the stimulus over the trials, as rows (b, trial id, stimulus).
 
     Permutation k gives the trial at position r of id order the stimulus of the trial at position r in
-    the order of md5(id|k|seed): reproducible on any engine, without a random stream.
+    the order of md5(id|k|seed): reproducible on any engine, without a random stream. Positions are counted
+    over ranges of ids and prefixes of the hash, so no task sorts all trials. Ids must be whole numbers.
     """
     if b <= 0:
         raise ValueError("b must be positive")
-    spread = trials.select(trial_id, stimulus, F.explode(F.sequence(F.lit(1), F.lit(b))).alias("b"))
-    by_id = Window.partitionBy("b").orderBy(trial_id)
-    by_hash = Window.partitionBy("b").orderBy(F.md5(F.concat_ws("|", F.col(trial_id), F.col("b"), F.lit(seed))), trial_id)
-    base = spread.select("b", trial_id, F.row_number().over(by_id).alias("_r"))
-    shuffled = spread.select("b", F.col(stimulus), F.row_number().over(by_hash).alias("_r"))
-    return base.join(shuffled, ["b", "_r"]).drop("_r")
+    ends = trials.agg(F.min(trial_id).alias("a"), F.max(trial_id).alias("z")).first()
+    width = max(1, ((ends["z"] or 0) - (ends["a"] or 0)) // 256 + 1)
+    placed = indexed(trials.select(trial_id, stimulus), [], trial_id, [], F.floor(F.col(trial_id) / width), "pos")
+    draws = F.explode(F.sequence(F.lit(1), F.lit(b))).alias("b")
+    hashed = placed.select(trial_id, stimulus, draws).withColumn("_h", F.md5(F.concat_ws("|", F.col(trial_id), F.col("b"), F.lit(seed))))
+    shuffled = indexed(hashed, ["b"], "_h", [trial_id], F.substring("_h", 1, 2), "pos").select("b", "pos", stimulus)
+    return placed.select(trial_id, "pos", draws).join(shuffled, ["b", "pos"]).select("b", trial_id, stimulus)
 
 
 def mi_by_key(rows: DataFrame, keys: Sequence[str], response: str, stimulus: str, trial_id: str | None = None, method: str = "plugin", b: int = 20, seed: int = 0) -> DataFrame:
