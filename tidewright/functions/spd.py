@@ -5,9 +5,11 @@ Matrices are flattened row by row. Eigenvalues are floored at 1e-12. A null matr
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,6 +55,27 @@ def _mapped(d: int, work):
     return udf.asNondeterministic()  # else filters on the result are pushed below it and compute it again
 
 
+def with_tangent(df: DataFrame, matrix: str, d: int, out: str) -> DataFrame:
+    """``df`` with ``out``: the tangent features of a matrix column, null for null.
+
+    For matrices that nested lambdas make: an Arrow function over them can't be planned once the optimizer
+    has put the lambdas into its argument, whereas a map over the rows is never merged with its input.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField(out, DOUBLES)])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            t = np.full(len(pdf), None, dtype=object)
+            rows = np.flatnonzero(pdf[matrix].notna().to_numpy())
+            if len(rows):
+                got = vech(apply_spectral(_stack(pdf[matrix].iloc[rows], d), lambda w: np.log(np.maximum(w, FLOOR))))
+                for r, v in zip(rows, got):
+                    t[r] = v
+            yield pdf.assign(**{out: t})
+
+    return df.mapInPandas(run, schema)
+
+
 def logm(m: Column, d: int) -> Column:
     return _mapped(d, lambda s: apply_spectral(s, lambda w: np.log(np.maximum(w, FLOOR))))(m)
 

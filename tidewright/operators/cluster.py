@@ -132,14 +132,13 @@ def log_euclidean_kmeans(df: DataFrame, id_col: str, tangent: str, k: int, seed:
     return lloyd(df, id_col, tangent, [c.tolist() for c in first], max_iter, 1e-9)[0]
 
 
-def fusion_features(wf: Column | str, dim: int = 16, lag: int = 3, length: int = 91, w_delay: float = 1.0, w_outer: float = 1.0, stride: int = 4) -> Column:
-    """Weighted tangent features of the delay descriptor and of the outer-product descriptor of a thinned waveform."""
-    c = F.col(wf) if isinstance(wf, str) else wf
-    thin = F.filter(c, lambda e, i: i % stride == 0)
+def fusion_features(df: DataFrame, wf: str, out: str, dim: int = 16, lag: int = 3, length: int = 91, w_delay: float = 1.0, w_outer: float = 1.0, stride: int = 4) -> DataFrame:
+    """``df`` with ``out``: weighted tangent features of the delay descriptor and of the outer product of the thinned waveform."""
     n = -(-length // stride)
-    delay = F.transform(spd.tangent(A.delay_descriptor(c, dim, lag), dim), lambda v: v * w_delay)
-    outer = F.transform(spd.tangent(A.outer_descriptor(thin, n), n), lambda v: v * w_outer)
-    return F.concat(delay, outer)
+    thin = F.filter(wf, lambda e, i: i % stride == 0)
+    made = df.withColumn("_d", A.delay_descriptor(wf, dim, lag)).withColumn("_o", A.outer_descriptor(thin, n))
+    made = spd.with_tangent(spd.with_tangent(made, "_d", dim, "_td"), "_o", n, "_to")
+    return made.withColumn(out, F.concat(F.transform("_td", lambda v: v * w_delay), F.transform("_to", lambda v: v * w_outer))).drop("_d", "_o", "_td", "_to")
 
 
 def sort_pca(waveforms: DataFrame, id_col: str, wf: str, k: int, components: int = 3) -> DataFrame:
@@ -149,7 +148,8 @@ def sort_pca(waveforms: DataFrame, id_col: str, wf: str, k: int, components: int
 
 def sort_spd(waveforms: DataFrame, id_col: str, wf: str, k: int, dim: int = 8, lag: int = 3) -> DataFrame:
     """(id, cluster): delay descriptors, then log-Euclidean k-means."""
-    t = checkpointed(waveforms.select(id_col, spd.tangent(A.delay_descriptor(wf, dim, lag), dim).alias("t")).where("t IS NOT NULL"))
+    m = waveforms.select(id_col, A.delay_descriptor(wf, dim, lag).alias("m"))
+    t = checkpointed(spd.with_tangent(m, "m", dim, "t").select(id_col, "t")).where("t IS NOT NULL")
     return log_euclidean_kmeans(t, id_col, "t", k).select(id_col, "cluster")
 
 
@@ -166,7 +166,7 @@ def sort_refined(waveforms: DataFrame, id_col: str, wf: str, k: int, fs: float,
     def clustered(rows: DataFrame) -> DataFrame:
         if descriptor == "delay":
             return sort_spd(rows, id_col, "x", k, dim, lag)
-        f = rows.select(id_col, fusion_features("x").alias("f")).where("f IS NOT NULL")
+        f = checkpointed(fusion_features(rows.select(id_col, "x"), "x", "f").select(id_col, "f")).where("f IS NOT NULL")
         return kmeans(f, "f", k).select(id_col, "cluster")
 
     for _ in range(rounds):

@@ -74,7 +74,7 @@ def sort_refined(spark, sf):
 
 
 def fusion_features(spark, sf):
-    w = waveforms(spark, sf).where(F.exists("x", lambda v: v != 0)).select("spike_id", K.fusion_features("x").alias("f"))
+    w = K.fusion_features(waveforms(spark, sf).where(F.exists("x", lambda v: v != 0)), "x", "f")
     return w.select("spike_id", F.size("f").alias("size"), A.norm("f").alias("norm"))
 
 

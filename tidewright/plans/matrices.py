@@ -74,7 +74,7 @@ def airm_dist(spark, sf):
 
 
 def _tangents(spark, sf, d):
-    return matrices(spark, sf, d).select("id", "label", "m", spd.tangent(F.col("m"), d).alias("x"))
+    return spd.with_tangent(matrices(spark, sf, d), "m", d, "x")
 
 
 def le_mean(spark, sf):
