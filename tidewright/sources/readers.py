@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def load_corpora(spark: SparkSession, paths: Mapping[str, str], encoding: str = "latin1") -> DataFrame:
+def load_corpora(spark: SparkSession, paths: Mapping[str, str], encoding: str = "iso-8859-1") -> DataFrame:
     """(lang, path, text): whole text files per language, decoded from ``encoding``; a path may be a glob."""
     out = None
     for lang, path in paths.items():
