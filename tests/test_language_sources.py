@@ -139,9 +139,8 @@ def test_stream_decides(spark, tmp_path):
     ratios = [1.0 if k == 0 else -1.0 for k in range(26)]
     spark.createDataFrame([(1, "aaaa"), (2, "zzzz"), (None, "a")], "id bigint, text string").write.json(str(tmp_path / "in"))
     chunks = spark.readStream.schema("id bigint, text string").json(str(tmp_path / "in"))
-    q = sprt_stream(chunks, "id", "text", ratios, ("a", "z"), 0.05, 0.05).writeStream.format("memory").queryName("decisions").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
-    q.stop()
+    q = sprt_stream(chunks, "id", "text", ratios, ("a", "z"), 0.05, 0.05).writeStream.format("memory").queryName("decisions").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(once=True).start()  # a pending timeout would keep other triggers running
+    assert q.awaitTermination(60)
     got = {r["id"]: (r["label"], r["n_letters"], r["forced"]) for r in spark.table("decisions").collect()}
     assert got == {1: ("a", 2, False), 2: ("z", 2, False)}
 

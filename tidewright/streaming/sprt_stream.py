@@ -50,7 +50,8 @@ def sprt_stream(chunks: DataFrame, id_col: str, text: str, ratios: Sequence[floa
                         yield pd.DataFrame({"id": [key[0]], "label": [labels[0] if llr >= 0 else labels[1]], "n_letters": [n], "forced": [False], "llr": [llr]})
                         break
         state.update((llr, n, done))
-        state.setTimeoutDuration(timeout_ms)
+        if not done:
+            state.setTimeoutDuration(timeout_ms)
 
     rows = chunks.select(F.col(id_col).cast("bigint").alias("id"), F.regexp_replace(F.lower(F.col(text)), "[^a-z]", "").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     return rows.groupBy("id").applyInPandasWithState(decide, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
