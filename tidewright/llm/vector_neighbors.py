@@ -41,17 +41,18 @@ class Router:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return ((x - self.mean) / self.scale) @ self.weight + self.bias
 
-    def reach(self, x: np.ndarray, max_distance: float) -> np.ndarray:
+    def reach(self, x: np.ndarray, max_distance: float, both: bool) -> np.ndarray:
         """Which parts a vector within ``max_distance`` of each row may be indexed in (rows x parts).
 
         A step of length r changes the lead of the best part over part p by at most r |w_best - w_p|. In many
         dimensions a step seldom points along one direction: beyond 16 the bound is four standard
-        deviations of an even step.
+        deviations of an even step. Where ``both`` vectors of a pair ask, half the bound is enough: the leads of
+        their own parts add up to what the step between them changes, so one of the two is within its half.
         """
         z = self.scores(x)
         top = z.argmax(1)
         apart = np.linalg.norm(self.weight.T[:, None, :] - self.weight.T[None, :, :], axis=2)
-        slack = max_distance / self.scale * min(1.0, 4 / math.sqrt(x.shape[1]))
+        slack = max_distance / self.scale * min(1.0, 4 / math.sqrt(x.shape[1])) / (2 if both else 1)
         return z.max(1, keepdims=True) - z <= slack * apart[top] + 1e-9
 
     def best(self, x: np.ndarray) -> np.ndarray:
@@ -182,6 +183,7 @@ def nearest_vectors(vectors: DataFrame, k: int, size: int, max_distance: float |
     members = first.withColumn("r", F.row_number().over(final)).where(F.col("r") <= k + 1)
     reps = members.groupBy("g1", "g2").agg(F.min("id").alias("rep"), F.array_sort(F.collect_list("id")).alias("ids"))
     ask = ids.where(queries) if queries else ids
+    both = max_distance is not None and queries is None
     if queries:
         reps = reps.join(ask.select("g1", "g2").distinct().withColumn("asks", F.lit(True)), ["g1", "g2"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
     else:
@@ -206,7 +208,7 @@ def nearest_vectors(vectors: DataFrame, k: int, size: int, max_distance: float |
                 continue
             x = np.array(pdf["v"].tolist(), dtype=float)
             home = router.scores(x).argmax(1)
-            probe = router.reach(x, max_distance) if max_distance is not None else router.best(x)
+            probe = router.reach(x, max_distance, both) if max_distance is not None else router.best(x)
             raw = [r.tobytes() for r in x]
             yield pd.DataFrame({"rep": pdf["rep"], "b": raw, "home": home, "probe": [np.flatnonzero(p).tolist() if a else [] for p, a in zip(probe, pdf["asks"])]})
 
@@ -221,27 +223,35 @@ def nearest_vectors(vectors: DataFrame, k: int, size: int, max_distance: float |
     asks = routed.select("rep", "b", F.explode("probe").alias("home")).join(layout, "home").select("home", spread("nb").alias("kb"), block("nq").alias("kq"), "rep", "b")
 
     def rank(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        """The k nearest indexed vectors of each asking one and, where all ask, the k nearest asking ones of each indexed one."""
         out = []
         if len(a) and len(b):
             y, y_ids = np.frombuffer(b"".join(b["nb_"]), dtype=float).reshape(-1, size), b["near"].to_numpy()
             x_all, x_ids = np.frombuffer(b"".join(a["b"]), dtype=float).reshape(-1, size), a["rep"].to_numpy()
-            yn, kk = (y**2).sum(1), min(k + 1, len(y))
+            yn = (y**2).sum(1)
             for at in range(0, len(x_all), 1000):
                 x, ids = x_all[at : at + 1000], x_ids[at : at + 1000]
                 near2 = (x**2).sum(1)[:, None] + yn[None] - 2 * x @ y.T
-                cand = np.argpartition(near2, kk - 1, axis=1)[:, :kk]
-                edge = np.take_along_axis(near2, cand, 1).max(1)
-                # every vector as near as the last candidate, so that ties are decided by id
-                r, c = np.nonzero(near2 <= (edge + 1e-9 * (1 + edge))[:, None]) if max_distance is None else np.nonzero(near2 <= np.minimum(edge * (1 + 1e-9) + 1e-9, max_distance**2 * (1 + 1e-9) + 1e-9)[:, None])
+                # everything as near as the k-th other one of its row or column, so that ties are decided by id
+                rows = np.partition(near2, min(k, len(y) - 1), axis=1)[:, min(k, len(y) - 1)]
+                pick = near2 <= (rows + 1e-9 * (1 + rows))[:, None]
+                if both:
+                    cols = np.partition(near2, min(k, len(x) - 1), axis=0)[min(k, len(x) - 1)]
+                    pick |= near2 <= (cols + 1e-9 * (1 + cols))[None]
+                if max_distance is not None:
+                    pick &= near2 <= max_distance**2 * (1 + 1e-9) + 1e-9
+                r, c = np.nonzero(pick)
                 d = np.sqrt(((x[r] - y[c]) ** 2).sum(1))
                 keep = ids[r] != y_ids[c]
                 if max_distance is not None:
                     keep &= d <= max_distance
-                out.append(pd.DataFrame({"rep": ids[r[keep]], "near": y_ids[c[keep]], "d": d[keep]}).sort_values(["rep", "d", "near"]).groupby("rep").head(k))
+                one = pd.DataFrame({"rep": ids[r[keep]], "near": y_ids[c[keep]], "d": d[keep]})
+                for part in (one, one.rename(columns={"rep": "near", "near": "rep"})) if both else (one,):
+                    out.append(part[["rep", "near", "d"]].sort_values(["rep", "d", "near"]).groupby("rep").head(k))
         return pd.concat(out) if out else pd.DataFrame({"rep": [], "near": [], "d": []})
 
     met = asks.groupBy("home", "kb", "kq").cogroup(index.groupBy("ihome", "ikb", "ikq")).applyInPandas(rank, f"rep {id_type}, near {id_type}, d double")
-    merged = met.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "near"))), 1, k).alias("n")).select("rep", F.posexplode("n").alias("p", "e")).select("rep", F.col("e.near").alias("near"), F.col("e.d").alias("d"))
+    merged = met.groupBy("rep").agg(F.slice(F.array_sort(F.collect_set(F.struct("d", "near"))), 1, k).alias("n")).select("rep", F.posexplode("n").alias("p", "e")).select("rep", F.col("e.near").alias("near"), F.col("e.d").alias("d"))
     ids_of = reps.select(F.col("rep").alias("near"), "ids")
     found = merged.join(ids_of, "near").select("rep", F.explode("ids").alias("neighbour"), "d")
     copies = reps.where(F.size("ids") > 1).select("rep", F.explode("ids").alias("neighbour"), F.lit(0.0).alias("d"))
