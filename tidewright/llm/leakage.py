@@ -62,6 +62,12 @@ def least_shared(words: list[str], share: float, edits: int) -> int:
     return max(1, least or 1)
 
 
+def widest_passage(words: list[str], share: float, edits: int) -> int:
+    """Most characters that a least passage of the item may take in a document, changed words included (each up to 32 longer)."""
+    m = least_passage(len(words), share)
+    return max(sum(map(len, words[k : k + m])) + m for k in range(len(words) - m + 1)) + 33 * edits
+
+
 def longest_passage(item: list[str], doc: list[str], edits: int) -> int:
     """Most item words covered by one passage of the document with at most ``edits`` words changed, added or left out.
 
@@ -120,21 +126,34 @@ def _item_grams(parts: Iterator[pd.DataFrame], share: float, edits: int) -> Iter
         for _id, text in zip(pdf["_item"], pdf["_it"]):
             words = plain_words(text)
             if words:
-                need = least_shared(words, share, edits)
-                rows += [(g, _id, k, need) for k, g in enumerate(_grams(words).tolist())]
-        yield pd.DataFrame(rows, columns=["g", "_item", "at", "need"])
+                need, span = least_shared(words, share, edits), widest_passage(words, share, edits)
+                rows += [(g, _id, k, need, span) for k, g in enumerate(_grams(words).tolist())]
+        yield pd.DataFrame(rows, columns=["g", "_item", "at", "need", "span"])
 
 
-def _doc_grams(parts: Iterator[pd.DataFrame], wanted: np.ndarray | None) -> Iterator[pd.DataFrame]:
-    """Rows (doc, q-gram, place) of every text; with ``wanted`` (sorted) only q-grams that an item has."""
+def _doc_grams(parts: Iterator[pd.DataFrame], known: tuple[np.ndarray, int, int] | None) -> Iterator[pd.DataFrame]:
+    """Rows (doc, q-gram, place) of every text.
+
+    ``known`` is (sorted q-grams of all items, least need, widest passage): then only q-grams that an item has
+    come out, and of those only the ones in some stretch of the widest passage's length that holds as many
+    as the least need. The lemma holds for all items at once, so no passage is lost.
+    """
     for pdf in parts:
         sizes, grams, places = [], [], []
         for text in pdf["_dt"]:
             g = _grams(plain_words(text))
             at = np.arange(len(g), dtype=np.int64)
-            if wanted is not None and len(g):
+            if known is not None and len(g):
+                wanted, least, width = known
                 hit = wanted[np.minimum(np.searchsorted(wanted, g), len(wanted) - 1)] == g if len(wanted) else np.zeros(len(g), bool)
                 g, at = g[hit], at[hit]
+                n = np.searchsorted(at, at + width, side="right") - np.arange(len(at))
+                ends = np.zeros(len(at) + 1, np.int64)
+                full = np.flatnonzero(n >= least)
+                np.add.at(ends, full, 1)
+                np.add.at(ends, full + n[full], -1)
+                inside = np.cumsum(ends[:-1]) > 0
+                g, at = g[inside], at[inside]
             sizes.append(len(g))
             grams.append(g)
             places.append(at)
@@ -159,12 +178,14 @@ def leaked_passages(
     it = items.select(F.col(item_id).alias("_item"), F.col(item_text).alias("_it")).where("_item IS NOT NULL AND _it IS NOT NULL").dropDuplicates(["_item"])
     d = docs.select(F.col(doc_id).alias("_doc"), F.col(doc_text).alias("_dt")).where("_doc IS NOT NULL AND _dt IS NOT NULL")
     kinds = {c: t for c, t in (*it.dtypes, *d.dtypes)}
-    item_grams = checkpointed(it.mapInPandas(lambda p: _item_grams(p, share, edits), f"g bigint, _item {kinds['_item']}, at int, need int"))
+    item_grams = checkpointed(it.mapInPandas(lambda p: _item_grams(p, share, edits), f"g bigint, _item {kinds['_item']}, at int, need int, span int"))
     small = fitting_broadcast(item_grams, BROADCAST_ROWS)
-    wanted = None
-    if small:  # bounded: q-grams of documents that no item has are dropped where they are made
-        wanted = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r[0] for r in item_grams.select("g").distinct().collect()], dtype=np.int64)))
-    doc_grams = d.mapInPandas(lambda p: _doc_grams(p, wanted.value if wanted else None), f"_doc {kinds['_doc']}, g bigint, place bigint")
+    known = None
+    if small:  # bounded: q-grams of documents that can't be part of a passage are dropped where they are made
+        ends = item_grams.agg(F.min("need").alias("least"), F.max("span").alias("width")).first()
+        wanted = np.sort(np.array([r[0] for r in item_grams.select("g").distinct().collect()], dtype=np.int64))
+        known = docs.sparkSession.sparkContext.broadcast((wanted, ends["least"] or 1, ends["width"] or 0))
+    doc_grams = d.mapInPandas(lambda p: _doc_grams(p, known.value if known else None), f"_doc {kinds['_doc']}, g bigint, place bigint")
     shared = doc_grams.join(F.broadcast(item_grams) if small else item_grams, "g")
     diagonal = F.col("place") - F.col("at")
     half = BAND // 2
