@@ -142,7 +142,25 @@ def p9_found(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_segments, p2_found, p2_repaired, p3_found, p3_neighbors, p4_found, p4_classes, p5_found, p5_members, p5_clusters, p6_found, p6_all_detections, p7_found, p7_leaks, p8_found, p8_report, p8_mix, p9_found, p9_pages)}
+def _neighbour_sql(field: str, table: str, far: float) -> str:
+    return f"""SELECT '{field}' AS field, least(a, b) AS id_lo, greatest(a, b) AS id_hi FROM (SELECT q.id AS a, t.id AS b, list_distance(q.v, t.v) AS d,
+ row_number() OVER (PARTITION BY q.id ORDER BY list_distance(q.v, t.v), t.id) AS r FROM {table} q JOIN {table} t ON q.id <> t.id) WHERE r <= 5 AND d <= {far}"""
+
+
+P3_SQL = f"""
+WITH rt AS (SELECT DISTINCT trial_id AS id, rates AS v FROM decoding_trials WHERE trial_id IS NOT NULL AND len(rates) = 22 AND list_count(rates) = 22
+            AND NOT list_contains(rates, 'nan'::double) AND list_sum(list_transform(rates, lambda x: abs(x))) > 0),
+xt AS (SELECT DISTINCT window_id AS id, flatten(x_train) AS v FROM geoknn_windows WHERE window_id IS NOT NULL AND len(x_train) = 64
+       AND len(list_filter(x_train, lambda r: len(r) = 8 AND list_count(r) = 8)) = 64 AND NOT list_contains(flatten(x_train), 'nan'::double)
+       AND list_sum(list_transform(flatten(x_train), lambda x: abs(x))) > 0)
+SELECT DISTINCT field, id_lo, id_hi FROM ({_neighbour_sql('rates', 'rt', 0.5)} UNION ALL {_neighbour_sql('x_train', 'xt', 12)})"""
+# the answer doesn't depend on the tokenizer, so characters stand for tokens
+P8_SQL = """
+SELECT m.source FROM mix_targets m LEFT JOIN (SELECT source, sum(length(text)) AS n FROM documents GROUP BY 1) d ON d.source = m.source
+WHERE coalesce(n, 0) * max_repeats < target_share * (SELECT sum(length(text)) FROM documents)"""
 ORACLES = {
+    "p3_found": P3_SQL,
+    "p8_found": P8_SQL,
     "p6_found": f"{P6_SQL} SELECT det_id, stim_id FROM m WHERE r = 1",
     "p6_all_detections": f"{P6_SQL}, i AS (SELECT DISTINCT det_id FROM det_mad WHERE det_id IS NOT NULL) SELECT i.det_id, stim_id, diff AS diff_us FROM i LEFT JOIN (SELECT * FROM m WHERE r = 1) b ON i.det_id = b.det_id",
 }
