@@ -191,3 +191,21 @@ def test_lloyd_revives_lost_clusters(spark):
     got, centers = K.lloyd(df, "id", "x", [[0.0, 0.0], [500.0, 0.0]], 10)
     labels = {r["id"]: r["cluster"] for r in got.collect()}
     assert labels[0] == labels[1] != labels[10] == labels[11] and len(centers) == 2
+
+
+def test_spectrogram(spark):
+    t = np.arange(256)
+    got = one(spark, signal.spectrogram(F.col("x"), 64, 32, 64), x=np.sin(2 * np.pi * t / 8))
+    assert len(got) == 7 and all(np.argmax(f) == 8 for f in got)
+    assert got[1] == pytest.approx(np.abs(np.fft.rfft(np.sin(2 * np.pi * t[32:96] / 8) * np.hamming(64))))
+    assert one(spark, signal.spectrogram(F.col("x"), 64, 32, 64), x=[1.0] * 10) == []
+    with pytest.raises(ValueError):
+        signal.spectrogram(F.col("x"), 8, 8, 8)
+
+
+def test_agreement(spark):
+    pairs = spark.createDataFrame([(0, "b")] * 8 + [(1, "a")] * 5 + [(1, "b")], "t int, f string")
+    sizes = lambda rows, c: spark.createDataFrame(rows, f"{c}, n bigint")
+    got = K.agreement(pairs, "t", "f", sizes([(0, 10), (1, 6)], "t int"), sizes([("a", 5), ("b", 9)], "f string"))
+    assert [(t, f) for t, f, _ in got] == [(0, "b"), (1, "a")] and [s for *_, s in got] == pytest.approx([0.8, 5 / 6])
+    assert K.agreement(pairs.where("t > 5"), "t", "f", sizes([], "t int"), sizes([], "f string")) == []

@@ -112,3 +112,14 @@ def test_cross_correlation_matches_brute_force(spark):
     got = {r["lag"]: r["r"] for r in series.cross_correlation(df, ["k"], "i", "a", "b", 5).collect()}
     for lag in range(-5, 6):
         assert got[lag] == pytest.approx(sum(a[i + lag] * b[i] for i in range(600) if 0 <= i + lag < 600))
+
+
+def test_chains_cross_buckets(spark):
+    times = [0, 1, 2, 9, 10, 11, 12, 40, 41, 43]
+    df = spark.createDataFrame([("k", t) for t in times], "k string, t bigint")
+    want = [0, 0, 0, 9, 9, 9, 9, 40, 40, 40]
+    for width in (3, 10, 1000):
+        got = {r["t"]: r["c"] for r in series.chains(df, ["k"], "t", 2, width, "c").collect()}
+        assert [got[t] for t in times] == want
+        before = {r["t"]: r["p"] for r in series.previous(df, ["k"], "t", "t", width, "p").collect()}
+        assert before[0] is None and [before[t]["o"] for t in times[1:]] == times[:-1]

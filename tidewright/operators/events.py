@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewright.operators.series import chains, previous
+from tidewright.session import checkpointed
+
 
 def mad_threshold(df: DataFrame, keys: Sequence[str], value: str, k: float = 4.0) -> DataFrame:
     """(keys, sigma, threshold): sigma = median |v| / 0.6745, threshold = k sigma; both null where sigma is 0."""
@@ -51,9 +54,8 @@ def enforce_refractory(candidates: DataFrame, keys: Sequence[str], i: str, magni
     Of equal magnitudes the later position goes first. Candidates further apart than the gap can't block one
     another, so chains between larger gaps are settled alone, each as one small array.
     """
-    w = Window.partitionBy(*keys).orderBy(i)
-    new = F.coalesce(F.col(i) - F.lag(i).over(w) > min_gap, F.lit(True))
-    chained = candidates.select(*keys, i, magnitude).withColumn("_chain", F.sum(new.cast("int")).over(w))
+    few = checkpointed(candidates.select(*keys, i, magnitude))  # read several times below; far fewer rows than the signal
+    chained = chains(few, keys, i, min_gap, max(100_000, 8 * min_gap), "_chain")
     packed = chained.groupBy(*keys, "_chain").agg(F.collect_list(F.struct(F.col(magnitude).alias("m"), F.col(i).alias("i"))).alias("_p"))
     alone = packed.where("size(_p) = 1").select(*keys, F.col("_p")[0]["i"].alias(i), F.col("_p")[0]["m"].alias(magnitude))
 
@@ -82,10 +84,9 @@ def detect_spikes(series: DataFrame, keys: Sequence[str], i: str, value: str, th
 
 def zero_crossings(series: DataFrame, keys: Sequence[str], i: str, value: str, offset: float = 0.1) -> DataFrame:
     """Positions where value + offset becomes negative after a positive position."""
-    w = Window.partitionBy(*keys).orderBy(i)
-    v = F.col(value) + offset
-    marked = series.select(*keys, F.col(i).alias("i"), v.alias("v"), F.lag(v).over(w).alias("_p"), F.lag(i).over(w).alias("_j"))
-    return marked.where((F.col("_j") == F.col("i") - 1) & (F.col("_p") * F.col("v") < 0) & (F.col("v") < 0)).select(*keys, "i")
+    rows = series.select(*keys, F.col(i).alias("i"), (F.col(value) + offset).alias("v"))
+    marked = previous(rows, keys, "i", "v", 100_000, "_p")
+    return marked.where((F.col("_p.o") == F.col("i") - 1) & (F.col("_p.v") * F.col("v") < 0) & (F.col("v") < 0)).select(*keys, "i")
 
 
 def extract_waveforms(series: DataFrame, spikes: DataFrame, keys: Sequence[str], i: str, value: str, pre: int, post: int, align: int = 0, stretch: int = 4096) -> DataFrame:
@@ -120,13 +121,8 @@ def intervals(times: DataFrame, keys: Sequence[str], t: str, bucket_width: int)
     The previous event is found within buckets of time; the first of each bucket takes the last of the
     previous non-empty one, so a busy key is spread over its buckets.
     """
-    rows = times.select(*keys, F.col(t).alias("t")).where("t IS NOT NULL").withColumn("_b", F.floor(F.col("t") / bucket_width))
-    last = rows.groupBy(*keys, "_b").agg(F.max("t").alias("_last"))
-    w = Window.partitionBy(*keys).orderBy("_b")
-    before = last.select(*keys, "_b", F.lag("_last").over(w).alias("_prev"))
-    inside = F.lag("t").over(Window.partitionBy(*keys, "_b").orderBy("t"))
-    joined = rows.withColumn("_p", inside).join(before, [*keys, "_b"])
-    return joined.select(*keys, "t", (F.col("t") - F.coalesce("_p", "_prev")).alias("isi")).where("isi IS NOT NULL")
+    rows = previous(times.select(*keys, F.col(t).alias("t")).where("t IS NOT NULL"), keys, "t", "t", bucket_width, "_p")
+    return rows.select(*keys, "t", (F.col("t") - F.col("_p.o")).alias("isi")).where("isi IS NOT NULL")
 
 
 def isi_histogram(isis: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
@@ -192,11 +188,9 @@ def match_detections(detected: DataFrame, truth: DataFrame, keys: Sequence[str],
     both = detected.select(*keys, F.lit(0).alias("_k"), F.col(det_id).alias("_id"), F.col(det_t).alias("_t")).unionByName(
         truth.select(*keys, F.lit(1).alias("_k"), F.col(true_id).alias("_id"), F.col(true_t).alias("_t"))
     ).where("_t IS NOT NULL AND _id IS NOT NULL")
-    w = Window.partitionBy(*keys).orderBy("_t", "_k", "_id")
-    new = F.coalesce(F.col("_t") - F.lag("_t").over(w) > tolerance, F.lit(True))
-    chains = both.withColumn("_c", F.sum(new.cast("int")).over(w))
+    chained = chains(checkpointed(both), keys, "_t", tolerance, max(1_000_000, 8 * tolerance), "_c")
     side = lambda k: F.array_sort(F.collect_list(F.when(F.col("_k") == k, F.struct(F.col("_t").alias("t"), F.col("_id").alias("id")))))
-    packed = chains.groupBy(*keys, "_c").agg(side(0).alias("_a"), side(1).alias("_z")).where("size(_a) > 0 AND size(_z) > 0")
+    packed = chained.groupBy(*keys, "_c").agg(side(0).alias("_a"), side(1).alias("_z")).where("size(_a) > 0 AND size(_z) > 0")
     simple = (F.size("_a") == 1) & (F.size("_z") == 1)
     row = lambda a, z: F.struct(a["id"].alias("a"), z["id"].alias("z"), (z["t"] - a["t"]).alias("dt"))
     one = packed.where(simple).select(*keys, row(F.col("_a")[0], F.col("_z")[0]).alias("_m"))

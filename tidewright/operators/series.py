@@ -29,6 +29,35 @@ def indexed(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str],
     return joined.withColumn(name, (F.col("_o") + F.col("_r")).cast("bigint")).drop("_b", "_o", "_r")
 
 
+def previous(df: DataFrame, keys: Sequence[str], order: str, value: str, bucket_width: int, name: str) -> DataFrame:
+    """``df`` with ``name``: struct (o, v) of the order and value of the row before, in the order of its series; null for the first.
+
+    Rows are ordered within (keys, bucket of ``bucket_width``); the first of a bucket takes the last of the
+    previous non-empty one, so a busy series is spread over its buckets. Rows of equal order are taken by
+    value.
+    """
+    rows = df.withColumn("_b", F.floor(F.col(order) / bucket_width)).withColumn("_s", F.struct(F.col(order).alias("o"), F.col(value).alias("v")))
+    last = rows.groupBy(*keys, "_b").agg(F.max("_s").alias("_last"))
+    before = last.select(*keys, "_b", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_b")).alias("_before"))
+    inside = F.lag("_s").over(Window.partitionBy(*keys, "_b").orderBy("_s"))
+    return rows.withColumn("_in", inside).join(before, [*keys, "_b"]).withColumn(name, F.coalesce("_in", "_before")).drop("_b", "_s", "_in", "_before")
+
+
+def chains(df: DataFrame, keys: Sequence[str], t: str, gap: int, bucket_width: int, name: str) -> DataFrame:
+    """``df`` with ``name``: the time at which the row's chain starts; a chain ends where a pause exceeds ``gap``.
+
+    Starts are found within buckets and carried over from earlier buckets, so a busy key is spread over its
+    buckets.
+    """
+    marked = previous(df, keys, t, t, bucket_width, "_before_t")
+    marked = marked.withColumn("_new", F.when(F.col("_before_t").isNull() | (F.col(t) - F.col("_before_t.o") > gap), F.col(t))).drop("_before_t").withColumn("_cb", F.floor(F.col(t) / bucket_width))
+    tops = marked.groupBy(*keys, "_cb").agg(F.max("_new").alias("_top"))
+    earlier = Window.partitionBy(*keys).orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*keys, "_cb", F.max("_top").over(earlier).alias("_carried"))
+    upto = Window.partitionBy(*keys, "_cb").orderBy(t).rangeBetween(Window.unboundedPreceding, 0)
+    return marked.withColumn("_own", F.max("_new").over(upto)).join(carried, [*keys, "_cb"]).withColumn(name, F.coalesce("_own", "_carried")).drop("_cb", "_new", "_own", "_carried")
+
+
 def frames(series: DataFrame, keys: Sequence[str], i: str, value: str, size: int, partial: bool = False) -> DataFrame:
     """Rows (keys, frame, x): consecutive stretches of ``size`` values as arrays; the last, shorter one only if ``partial``."""
     packed = series.groupBy(*keys, F.floor(F.col(i) / size).alias("frame")).agg(F.array_sort(F.collect_list(F.struct(F.col(i).alias("i"), F.col(value).cast("double").alias("v")))).alias("_p"))
