@@ -30,6 +30,7 @@ LANGUAGES = {
 }
 ENDS = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|\n+")
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+ASIDE = re.compile(r"\([^()]*\)")
 MIN_LETTERS = 16
 
 
@@ -75,7 +76,13 @@ class SubwordModel:
         return (self.embed[ids].mean(0) @ self.weight + self.bias) if len(ids) else np.zeros(len(self.languages))
 
     def log_probs(self, sentence: str) -> np.ndarray | None:
-        """Calibrated log probabilities, or None where the sentence gives no evidence."""
+        """Calibrated log probabilities, or None where the sentence gives no evidence.
+
+        A phrase in parentheses doesn't decide the language of the sentence around it.
+        """
+        around = ASIDE.sub(" ", sentence)
+        if sum(c.isalpha() for c in around) >= MIN_LETTERS:
+            sentence = around
         if sum(c.isalpha() for c in sentence) < MIN_LETTERS:
             return None
         z = self.logits(features(sentence, len(self.embed))) / self.temperature
