@@ -135,8 +135,8 @@ def calibrate(model: SubwordModel, held: list[tuple[np.ndarray, int]], error: fl
     model.floor = float(floor)
 
 
-def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = 1500, buckets: int = 1 << 14, dim: int = 12, steps: int = 25_000, seed: int = 5) -> SubwordModel:
-    """Train on at most ``max_rows`` labelled rows, drawn evenly by a hash of the id (a bounded sample), in about ``steps`` steps."""
+def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = 4000, buckets: int = 1 << 14, dim: int = 12, steps: tuple[int, int] = (25_000, 60_000), seed: int = 5) -> SubwordModel:
+    """Train on at most ``max_rows`` labelled rows, drawn evenly by a hash of the id (a bounded sample), in between ``steps[0]`` and ``steps[1]`` steps."""
     names = F.create_map(*[F.lit(x) for kv in label_map().items() for x in kv])
     labelled = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.element_at(names, F.lower(F.trim(F.col(label_col)))).alias("_y"))
     labelled = labelled.where("_y IS NOT NULL AND _t IS NOT NULL")
@@ -151,7 +151,8 @@ def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int
     held, rest = data[::5], [d for k, d in enumerate(data) if k % 5]
     if not rest:
         return SubwordModel(languages, np.zeros((buckets, dim), np.float32), np.zeros((dim, len(languages)), np.float32), np.zeros(len(languages), np.float32), floor=1.1)
-    epochs = lambda n: max(1, math.ceil(steps / max(1, n)))
+    # ten rounds over the sentences, within bounds: a small sample needs more of them, a large one fewer
+    epochs = lambda n: max(1, math.ceil(min(max(10 * n, steps[0]), steps[1]) / max(1, n)))
     first = train(rest, languages, buckets, dim, max(1, epochs(len(rest)) // 3), seed)
     calibrate(first, held)
     agrees = lambda d: np.argmax(z := first.logits(d[0])) == d[1] or z.max() - z[d[1]] < 2 * first.temperature
