@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.functions import arrays as A
+
 
 def micros(ts: Column | str) -> Column:
     """Microseconds since 1970 of a timestamp without zone, whatever the session's zone."""
@@ -65,6 +67,21 @@ def frames(series: DataFrame, keys: Sequence[str], i: str, value: str, size: int
     return out if partial else out.where(F.size("x") == size)
 
 
+def smoothed(series: DataFrame, keys: Sequence[str], i: str, value: str, half: int = 2, width: int = 1024) -> DataFrame:
+    """Rows (keys, i, value): centred means of 2 half + 1 values over whole series; the first and last ``half`` of a series stay.
+
+    A value near the end of a stretch of ``width`` is also sent to the neighbouring stretch, so every stretch
+    has the neighbours of its own values and no task holds a whole series.
+    """
+    if not 0 <= half <= width:
+        raise ValueError("half must be between 0 and width")
+    at = lambda by: F.floor((F.col(i) + by) / width)
+    sent = series.select(*keys, F.col(i).alias("_i"), F.col(value).cast("double").alias("_v"), F.explode(F.array_distinct(F.array(at(0), at(-half), at(half)))).alias("_s"))
+    packed = sent.groupBy(*keys, "_s").agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_p"))
+    means = packed.select(*keys, "_s", F.explode(F.arrays_zip(F.transform("_p", lambda e: e["_i"]).alias("i"), A.moving_average(F.transform("_p", lambda e: e["_v"]), half).alias("v"))).alias("_e"))
+    return means.where(F.floor(F.col("_e.i") / width) == F.col("_s")).select(*keys, F.col("_e.i").alias(i), F.col("_e.v").alias(value))
+
+
 def _mean_sd(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
 

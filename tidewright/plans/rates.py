@@ -23,6 +23,11 @@ def user_frames(spark, sf):
     return series.frames(user_series(spark, sf), ["user_id"], "i", "v", FRAME)
 
 
+def whole_frames(spark, sf):
+    """As user_frames, with the shorter last frame of every user."""
+    return series.frames(user_series(spark, sf), ["user_id"], "i", "v", FRAME, partial=True)
+
+
 SERIES_SQL = "ser AS (SELECT user_id, event_id, value AS v, cast(regexp_extract(props, '([0-9]+)', 1) AS int) % 10 AS r4, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events)"
 FRAMES_SQL = f"""{SERIES_SQL}, cut AS (SELECT user_id, i // {FRAME} AS frame, cast(i % {FRAME} AS int) AS p, v, count(*) OVER (PARTITION BY user_id, i // {FRAME}) AS c FROM ser),
 fr AS (SELECT user_id, frame, p, v FROM cut WHERE c = {FRAME})"""
@@ -88,6 +93,18 @@ def smooth_twice(spark, sf):
     return exploded(user_frames(spark, sf), A.moving_average(A.moving_average("x")))
 
 
+def _whole_smooth(times):
+    """Every user's whole series smoothed, under the frame and place of each value; only a series' own ends stay."""
+
+    def query(spark, sf):
+        s = user_series(spark, sf).select("user_id", "i", "v")
+        for _ in range(times):
+            s = series.smoothed(s, ["user_id"], "i", "v")
+        return s.select("user_id", F.floor(F.col("i") / FRAME).alias("frame"), (F.col("i") % FRAME).cast("int").alias("p"), r6("v"))
+
+    return query
+
+
 def pearson(spark, sf):
     return read_table(spark, sf, "lineitem").groupBy("l_returnflag").agg(r6_of(F.corr("l_quantity", "l_extendedprice"), "r"))
 
@@ -101,6 +118,8 @@ def xcorr_lag(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (rate_distributions, roc_curve, auc, auc_mannwhitney, decoding_auc, zscore, snr, trial_average, moving_avg5, smooth_twice, pearson, spearman, xcorr_lag)}
+#: Over whole series, without SQL: the SQL of the plain names keeps full frames only.
+QUERIES |= {"moving_avg5_whole": _whole_smooth(1), "smooth_twice_whole": _whole_smooth(2)}
 DIST_SQL = """
 c AS (SELECT l_returnflag AS condition, cast(l_quantity AS bigint) AS k, count(*) AS n FROM lineitem WHERE l_returnflag IS NOT NULL AND l_quantity IS NOT NULL GROUP BY ALL),
 t AS (SELECT condition, sum(n) AS total FROM c GROUP BY ALL), sp AS (SELECT condition, total, unnest(range((SELECT max(k) + 1 FROM c))) AS k FROM t),
