@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tidewright.functions import arrays as A
@@ -48,16 +50,16 @@ def spd_descriptor(spark, sf):
     return w.select("spike_id", r6_of(trace, "trace"), r6_of(A.total("m"), "total"), r6_of(F.get("m", F.lit(30 * 91 + 31)), "corner"))
 
 
-def logm2(spark, sf):
-    return cells(matrices(spark, sf, 2), "id", spd.logm(F.col("m"), 2))
+def logm2(spark, sf, d=2):
+    return cells(matrices(spark, sf, d), "id", spd.logm(F.col("m"), d))
 
 
-def expm2(spark, sf):
-    return cells(matrices(spark, sf, 2), "id", spd.expm(F.col("m"), 2))
+def expm2(spark, sf, d=2):
+    return cells(matrices(spark, sf, d), "id", spd.expm(F.col("m"), d))
 
 
-def sqrtm2(spark, sf):
-    return cells(matrices(spark, sf, 2), "id", spd.powm(F.col("m"), 2, -0.5))
+def sqrtm2(spark, sf, d=2):
+    return cells(matrices(spark, sf, d), "id", spd.powm(F.col("m"), d, -0.5))
 
 
 def _two(spark, sf):
@@ -73,17 +75,34 @@ def airm_dist(spark, sf):
     return _two(spark, sf).select("id", r6_of(spd.airm_distance(F.col("a"), F.col("b"), 2), "d"))
 
 
+def _halves(spark, sf):
+    """Rows (id, a, b): the covariance of all 8 channels over the first and over the last 32 rows of a window that has both."""
+    a, b = (A.spd_embed(F.slice("win", at, 32), 8) for at in (1, 33))
+    moving = lambda at: F.exists(F.flatten(F.slice("win", at, 32)), lambda v: v != 0)
+    return checkpointed(windows(spark, sf).where(moving(1) & moving(33)).select("id", a.alias("a"), b.alias("b")))
+
+
+def logeuclid_dist_windows(spark, sf):
+    """Log-Euclidean distance between the two halves of every window, on all 8 channels."""
+    return _halves(spark, sf).select("id", r6_of(A.distance(spd.tangent(F.col("a"), 8), spd.tangent(F.col("b"), 8)), "d"))
+
+
+def airm_dist_windows(spark, sf):
+    """Affine-invariant distance between the two halves of every window, on all 8 channels."""
+    return _halves(spark, sf).select("id", r6_of(spd.airm_distance(F.col("a"), F.col("b"), 8), "d"))
+
+
 def _tangents(spark, sf, d):
     return spd.with_tangent(matrices(spark, sf, d), "m", d, "x")
 
 
-def le_mean(spark, sf):
-    m = C.class_means(_tangents(spark, sf, 2), "x", "label").select("label", spd.from_tangent(F.col("mean"), 2).alias("m"))
+def le_mean(spark, sf, d=2):
+    m = C.class_means(_tangents(spark, sf, d), "x", "label").select("label", spd.from_tangent(F.col("mean"), d).alias("m"))
     return cells(m, "label", "m")
 
 
-def mdm_predict(spark, sf):
-    t = _tangents(spark, sf, 2)
+def mdm_predict(spark, sf, d=2):
+    t = _tangents(spark, sf, d)
     return C.nearest_class(t, C.class_means(t, "x", "label"), "x", "label").select("id", "predicted")
 
 
@@ -99,9 +118,9 @@ def geoknn_predict_le(spark, sf):
     return C.kernel_vote(C.nearest_neighbours(asked(t), t, K))
 
 
-def geoknn_predict_airm(spark, sf):
-    t = checkpointed(matrices(spark, sf, 2).select("id", "label", F.col("m").alias("x")))
-    return C.kernel_vote(C.nearest_neighbours(asked(t), t, K, metric="airm", d=2))
+def geoknn_predict_airm(spark, sf, d=2):
+    t = checkpointed(matrices(spark, sf, d).select("id", "label", F.col("m").alias("x")))
+    return C.kernel_vote(C.nearest_neighbours(asked(t), t, K, metric="airm", d=d))
 
 
 def geoknn_windows_predict(spark, sf):
@@ -110,16 +129,16 @@ def geoknn_windows_predict(spark, sf):
     return C.kernel_vote(C.nearest_neighbours(asked(t), t, K))
 
 
-def geoknn_cv5(spark, sf):
-    v = checkpointed(C.contiguous_folds(_tangents(spark, sf, 2).drop("m"), "id", 5))
+def geoknn_cv5(spark, sf, d=2):
+    v = checkpointed(C.contiguous_folds(_tangents(spark, sf, d).drop("m"), "id", 5))
     near = C.nearest_neighbours(v, v, K, fold="fold").join(v.select(F.col("id").alias("qid"), "fold"), "qid")
     return C.accuracy(C.kernel_vote(near, ["qid", "fold"]), v, keys=["fold"]).select("fold", "n", r6("accuracy"))
 
 
 def tangent_map(spark, sf):
-    """Tangent features of 2 x 2 matrices at their Karcher mean: they average to 0."""
-    m = checkpointed(matrices(spark, sf, 2).select("id", "m"))
-    mean = C.karcher_mean(m, "m", 2)
+    """Tangent features of the 8 x 8 matrices at their Karcher mean: they average to 0."""
+    m = checkpointed(matrices(spark, sf, 8).select("id", "m"))
+    mean = C.karcher_mean(m, "m", 8)
     return cells(m, "id", spd.tangent_at(F.col("m"), mean))
 
 
@@ -137,6 +156,14 @@ QUERIES = {
         geoknn_predict_le, geoknn_predict_airm, geoknn_windows_predict, geoknn_cv5, tangent_map, karcher_mean,
     )
 }
+#: On all 8 channels, without SQL: the SQL of the plain names has closed forms for the first two channels only.
+QUERIES |= {f.__name__: f for f in (logeuclid_dist_windows, airm_dist_windows)} | {
+    name: partial(f, d=8)
+    for name, f in {
+        "logm_windows": logm2, "expm_windows": expm2, "sqrtm_windows": sqrtm2, "le_mean_windows": le_mean, "mdm_predict_windows": mdm_predict,
+        "geoknn_windows_predict_airm": geoknn_predict_airm, "geoknn_windows_cv5": geoknn_cv5,
+    }.items()
+}
 
 
 def cov_sql(d: int, first: int = 0, out: str = "mt") -> str:
