@@ -212,6 +212,23 @@ def outer_descriptor(x: Column | str, length: int, eps: float = 1e-3) -> Column:
     return F.when(dot(x, x) > 0, regularized(outer(x), length, eps))
 
 
+def outer_tangent(x: Column | str, length: int, eps: float = 1e-3, floor: float = 1e-12) -> Column:
+    """Tangent features of outer_descriptor (vech of its logarithm) in closed form; null for an all-zero vector.
+
+    x x' + e I has the eigenvalue |x|^2 + e along u = x / |x| and e across it, so its logarithm is
+    log(e) I + (log(|x|^2 + e) - log(e)) u u'. Eigenvalues are floored as those of spd.tangent.
+    """
+
+    def work(c: Column, q: Column) -> Column:
+        least = F.log(F.greatest(q * eps / length, F.lit(floor)))
+        gain = (F.log(F.greatest(q + q * eps / length, F.lit(floor))) - least) / q
+        cell = lambda a, b, j, l, g: F.when(j == 0, l + g * a * b).otherwise(g * a * b * math.sqrt(2))
+        upper = lambda l, g: F.flatten(F.transform(c, lambda a, i: F.transform(F.slice(c, i + 1, F.size(c)), lambda b, j: cell(a, b, j, l, g))))
+        return let(least, lambda l: let(gain, lambda g: upper(l, g)))
+
+    return F.when(dot(x, x) > 0, let(x, lambda c: let(dot(c, c), lambda q: work(c, q))))
+
+
 def delay_descriptor(x: Column | str, dim: int, lag: int, eps: float = 1e-3) -> Column:
     """H'H / n + eps trace / dim of the time-delay rows."""
     return regularized(gram(hankel(x, dim, lag), dim), dim, eps)

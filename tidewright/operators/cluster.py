@@ -132,13 +132,11 @@ def log_euclidean_kmeans(df: DataFrame, id_col: str, tangent: str, k: int, seed:
     return lloyd(df, id_col, tangent, [c.tolist() for c in first], max_iter, 1e-9)[0]
 
 
-def fusion_features(df: DataFrame, wf: str, out: str, dim: int = 16, lag: int = 3, length: int = 91, w_delay: float = 1.0, w_outer: float = 1.0, stride: int = 4) -> DataFrame:
-    """``df`` with ``out``: weighted tangent features of the delay descriptor and of the outer product of the thinned waveform."""
-    n = -(-length // stride)
-    thin = F.filter(wf, lambda e, i: i % stride == 0)
-    made = df.withColumn("_d", A.delay_descriptor(wf, dim, lag)).withColumn("_o", A.outer_descriptor(thin, n))
-    made = spd.with_tangent(spd.with_tangent(made, "_d", dim, "_td"), "_o", n, "_to")
-    return made.withColumn(out, F.concat(F.transform("_td", lambda v: v * w_delay), F.transform("_to", lambda v: v * w_outer))).drop("_d", "_o", "_td", "_to")
+def fusion_features(df: DataFrame, wf: str, out: str, dim: int = 16, lag: int = 3, length: int = 91, w_delay: float = 1.0, w_outer: float = 1.0) -> DataFrame:
+    """``df`` with ``out``: weighted tangent features of the delay descriptor and of the outer product of the whole waveform."""
+    made = spd.with_tangent(df.withColumn("_d", A.delay_descriptor(wf, dim, lag)), "_d", dim, "_td")
+    outer = A.outer_tangent(wf, length)
+    return made.withColumn(out, F.concat(F.transform("_td", lambda v: v * w_delay), F.transform(outer, lambda v: v * w_outer))).drop("_d", "_td")
 
 
 def sort_pca(waveforms: DataFrame, id_col: str, wf: str, k: int, components: int = 3) -> DataFrame:
