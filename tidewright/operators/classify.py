@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -120,23 +120,47 @@ def perceptron_fit(rows: DataFrame, id_col: str, features: Sequence[str], target
     one array: groups must fit a task, and are meant to be many.
     """
     n = len(features)
-    w0 = list(weights) if weights is not None else [0.0] * n
+    w0 = [float(v) for v in weights] if weights is not None else [0.0] * n
     packed = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("i"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"), F.col(target).cast("double").alias("t")))).alias("_r"))
-    state = F.struct(F.array(*[F.lit(float(x)) for x in w0]).alias("w"), F.lit(float(bias)).alias("b"), F.lit(0).alias("e"))
-
-    def one(st, r):
-        p = F.when(A.dot(st["w"], r["x"]) + st["b"] > 0, 1.0).otherwise(0.0)
-        step = rate * (r["t"] - p)
-        return F.struct(F.zip_with(st["w"], r["x"], lambda a, x: a + step * x).alias("w"), (st["b"] + step).alias("b"), (st["e"] + F.when(p != r["t"], 1).otherwise(0)).alias("e"))
-
-    whole = F.struct(state["w"].alias("w"), state["b"].alias("b"), F.lit(0).alias("turns"), F.lit(-1).alias("e"))
-
-    def turn(st, _):
-        done = F.aggregate("_r", F.struct(st["w"].alias("w"), st["b"].alias("b"), F.lit(0).alias("e")), one)
-        return F.when(st["e"] == 0, st).otherwise(F.transform(F.array(done), lambda d: F.struct(d["w"].alias("w"), d["b"].alias("b"), (st["turns"] + 1).alias("turns"), d["e"].alias("e")))[0])
-
-    fitted = packed.select(group, F.aggregate(F.sequence(F.lit(1), F.lit(max_turns)), whole, turn).alias("m"))
-    return fitted.select(group, F.col("m.w").alias("w"), F.col("m.b").alias("b"), F.col("m.turns").alias("turns"), F.col("m.e").alias("errors"))
+    flat = packed.select(group, F.flatten(F.transform("_r", lambda r: r["x"])).alias("x"), F.transform("_r", lambda r: r["t"]).alias("t"))
+
+    def fit(xs: list[np.ndarray], ts: list[np.ndarray]) -> pd.DataFrame:
+        """All groups side by side, longest first: step k takes the k-th row of every group that has one."""
+        size = np.array([len(t) for t in ts])
+        order = np.argsort(-size, kind="stable")
+        w, b = np.tile(w0, (len(ts), 1)), np.full(len(ts), float(bias))
+        turns, errors = np.zeros(len(ts), int), np.full(len(ts), -1)
+        open_ = order
+        for turn in range(max_turns):
+            wo, bo, wrong = w[open_], b[open_], np.zeros(len(open_), int)
+            if not turn or len(open_) < before:  # groups that are done are left out
+                before = len(open_)
+                steps = [np.array([i for i in open_ if size[i] > k]) for k in range(size[open_].max(initial=0))]
+                steps = [(np.array([xs[i][k] for i in own]), np.array([ts[i][k] for i in own])) for k, own in enumerate(steps)]
+            for x, t in steps:
+                m = len(t)
+                score = np.zeros(m)
+                for c in range(n):
+                    score = score + wo[:m, c] * x[:, c]
+                gap = t - (score + bo[:m] > 0)
+                step = rate * gap
+                wo[:m] += step[:, None] * x
+                bo[:m] += step
+                wrong[:m] += gap != 0
+            w[open_], b[open_], errors[open_] = wo, bo, wrong
+            turns[open_] += 1
+            open_ = open_[wrong > 0]
+            if not len(open_):
+                break
+        return pd.DataFrame({"w": list(w), "b": b, "turns": turns, "errors": errors})
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            if len(pdf):
+                got = fit([np.asarray(x, float).reshape(-1, n) for x in pdf["x"]], [np.asarray(t, float) for t in pdf["t"]])
+                yield got.assign(**{group: pdf[group].to_numpy()})[[group, "w", "b", "turns", "errors"]]
+
+    return flat.mapInPandas(run, f"{group} {dict(rows.dtypes)[group]}, w array<double>, b double, turns int, errors int")
 
 
 def perceptron_decide(rows: DataFrame, models: DataFrame, features: Sequence[str], group: str) -> DataFrame:

@@ -113,7 +113,7 @@ def pca(df: DataFrame, features: str, k: int) -> tuple[DataFrame, list[float]]:
     return model.transform(v).withColumn("pcs", shifted).drop("_v", "_p"), [float(s) for s in model.explainedVariance]
 
 
-def kmeans(df: DataFrame, features: str, k: int, seeds: Sequence[int] = range(3), max_iter: int = 50) -> DataFrame:
+def kmeans(df: DataFrame, features: str, k: int, seeds: Sequence[int] = range(10), max_iter: int = 50) -> DataFrame:
     """``df`` with ``cluster``: k-means|| and Lloyd by Spark ML, the best of several seeds."""
     v = checkpointed(df.withColumn("_v", array_to_vector(F.col(features))))
     models = [KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="_v", predictionCol="cluster").fit(v) for s in seeds]
@@ -121,14 +121,15 @@ def kmeans(df: DataFrame, features: str, k: int, seeds: Sequence[int] = range(3)
     return best.transform(v).drop("_v")
 
 
-def log_euclidean_kmeans(df: DataFrame, id_col: str, tangent: str, k: int, seed: int = 0, max_iter: int = 50) -> DataFrame:
+def log_euclidean_kmeans(df: DataFrame, id_col: str, tangent: str, k: int, seeds: Sequence[int] = range(10), max_iter: int = 50) -> DataFrame:
     """(id, cluster, d2): k-means of matrices under the log-Euclidean distance, on their tangent features.
 
     The log-Euclidean mean is the plain mean of tangent features, so this is Lloyd's iteration there, from
-    the centers that k-means|| finds.
+    the best centers that k-means|| and Lloyd find from several seeds.
     """
     v = df.withColumn("_v", array_to_vector(F.col(tangent)))
-    first = KMeans(k=k, seed=seed, maxIter=10, featuresCol="_v").fit(v).clusterCenters()
+    models = [KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="_v").fit(v) for s in seeds]
+    first = min(models, key=lambda m: m.summary.trainingCost).clusterCenters()
     return lloyd(df, id_col, tangent, [c.tolist() for c in first], max_iter, 1e-9)[0]
 
 

@@ -11,6 +11,7 @@ from tidewright.plans.information import r6
 from tidewright.session import checkpointed, read_table
 
 K = 5
+TURNS = 1000
 
 
 def vectors(spark, sf):
@@ -90,18 +91,18 @@ def _points(spark, sf):
 
 def perceptron_fit(spark, sf):
     """A perceptron per user that tells purchases by value and hour."""
-    m = C.perceptron_fit(_points(spark, sf), "event_id", ["x1", "x2"], "t", "user_id", max_turns=5, weights=(0.6, -0.2))
+    m = C.perceptron_fit(_points(spark, sf), "event_id", ["x1", "x2"], "t", "user_id", max_turns=TURNS, weights=(0.6, -0.2))
     return m.select("user_id", F.round(F.get("w", F.lit(0)), 6).alias("w1"), F.round(F.get("w", F.lit(1)), 6).alias("w2"), F.round("b", 6).alias("b"), "turns", "errors")
 
 
 def perceptron_predict(spark, sf):
     p = _points(spark, sf)
-    m = C.perceptron_fit(p, "event_id", ["x1", "x2"], "t", "user_id", max_turns=5, weights=(0.6, -0.2))
+    m = C.perceptron_fit(p, "event_id", ["x1", "x2"], "t", "user_id", max_turns=TURNS, weights=(0.6, -0.2))
     return C.perceptron_decide(p, m, ["x1", "x2"], "user_id").groupBy("user_id").agg(F.avg((F.col("predicted") == F.col("t")).cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
 def decision_line(spark, sf):
-    m = C.perceptron_fit(_points(spark, sf), "event_id", ["x1", "x2"], "t", "user_id", max_turns=5, weights=(0.6, -0.2))
+    m = C.perceptron_fit(_points(spark, sf), "event_id", ["x1", "x2"], "t", "user_id", max_turns=TURNS, weights=(0.6, -0.2))
     return m.select("user_id", C.separating_line(m, F.lit(0.0)).alias("y0"), C.separating_line(m, F.lit(1.0)).alias("y1"))
 
 

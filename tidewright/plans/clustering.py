@@ -47,6 +47,25 @@ def ari(spark, sf):
     return K.adjusted_rand(c.join(v.select("id", "label"), "id"), "label", "cluster").select(r6("ari"))
 
 
+def _converged(spark, sf):
+    """Lloyd's iteration from the means of all labels until the centers stay."""
+    from tidewright.operators.classify import class_means
+
+    v = checkpointed(vectors(spark, sf))
+    start = [r["mean"] for r in class_means(v, "x", "label").orderBy("label").collect()]
+    return v, K.lloyd(v, "id", "x", start, 300, 1e-9)[0]
+
+
+def kmeans_lloyd_converged(spark, sf):
+    return _converged(spark, sf)[1].select("id", "cluster", r6("d2"))
+
+
+def ari_converged(spark, sf):
+    """Agreement of converged k-means with as many clusters as labels with the labels."""
+    v, c = _converged(spark, sf)
+    return K.adjusted_rand(c.join(v.select("id", "label"), "id"), "label", "cluster").select(r6("ari"))
+
+
 def cluster_accuracy(spark, sf):
     v = vectors(spark, sf)
     c = checkpointed(K.kmeans(v, "x", 10).select("id", "label", "cluster"))
@@ -85,6 +104,8 @@ def regime_ari(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (align_waveforms, cluster_templates, screen_overlaps, kmeans_lloyd_fixed, ari, cluster_accuracy, pca_shares, pca_kmeans, le_kmeans, sort_refined, fusion_features, regime_ari)}
+#: Without SQL: the SQL of kmeans_lloyd_fixed and ari unrolls three rounds of three clusters.
+QUERIES |= {f.__name__: f for f in (kmeans_lloyd_converged, ari_converged)}
 ALIGN_SQL = f"""{WAVE_SQL}, tm AS (SELECT list(m ORDER BY p) AS t FROM (SELECT p, avg(x[p + 1]) AS m FROM wv, (SELECT unnest(range(91)) AS p) GROUP BY p)),
 op AS (SELECT spike_id, x, s, round(list_dot_product(list_transform(range(91), lambda i: x[((i - s) % 91 + 91) % 91 + 1]), t), 9) AS d FROM wv, tm, (SELECT unnest(range(-6, 7)) AS s))"""
 TPL_SQL = f"{VEC_SQL}, tpl AS (SELECT label, list(m ORDER BY p) AS t FROM (SELECT label, p, median(x[p + 1]) AS m FROM vec, (SELECT unnest(range(64)) AS p) GROUP BY ALL) GROUP BY 1)"
