@@ -186,11 +186,38 @@ def test_leaks(spark):
         lk.leaked_passages(none, items, "id", "text", "id", "text", share=0)
 
 
-def test_shuffle_join_gives_the_same(spark, monkeypatch):
-    rows = frame(spark, [(1, ITEM), (2, "nothing here")]).withColumnRenamed("id", "doc")
-    items = frame(spark, [(70, ITEM)]).withColumnRenamed("id", "item")
-    monkeypatch.setattr(lk, "BROADCAST_ROWS", 1)
-    assert [(r["doc"], r["item"]) for r in lk.leaked_passages(rows, items, "doc", "text", "item", "text").collect()] == [(1, 70)]
+def edited_passages(item, seed):
+    """Passages of an item with two words replaced, added or left out, the new words 5 to 30 letters longer, among other words."""
+    rng, w, out = random.Random(seed), item.split(), []
+    for longer in range(5, 31):
+        for offset in range(0, len(w) - 16, 2):
+            part = w[offset : offset + 17]
+            for k in rng.sample(range(1, 16), 2):
+                kind = rng.choice(["change", "change", "add", "drop"])
+                new = "q" * (len(part[k]) + longer)
+                part[k] = {"change": new, "add": part[k] + " " + new, "drop": ""}[kind]
+            out.append(" ".join(["lead"] * rng.randrange(60) + part + ["tail"] * rng.randrange(9)))
+    return out
+
+
+@pytest.mark.parametrize("bound", [1_000_000, 1])
+def test_no_passage_is_lost_whatever_the_length_of_the_words(spark, monkeypatch, bound):
+    monkeypatch.setattr(lk, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(lk, "PIECE_WORDS", 50)
+    other = "Two surveyors walk from Nanodo to Pemibe in 21 hours resting 7 times at the bakery and once near the old mill before they reach the harbour"
+    texts = edited_passages(ITEM, 1) + edited_passages(other, 2) + [ITEM + " " + other, "nothing here", "fee"]
+    items = {70: ITEM, 71: other, 72: "sixty ducats", 73: "fee", 74: "of the 21 hours"}
+    want = {}
+    for i, t in enumerate(texts):
+        for k, item in items.items():
+            words = lk.plain_words(item)
+            got = lk.longest_passage(words, lk.plain_words(t), 2)
+            if got >= lk.least_passage(len(words), 0.5):
+                want[i, k] = got
+    docs = frame(spark, [(i, t) for i, t in enumerate(texts)]).withColumnRenamed("id", "doc")
+    found = lk.leaked_passages(docs, frame(spark, list(items.items())).withColumnRenamed("id", "item"), "doc", "text", "item", "text").collect()
+    assert {(r["doc"], r["item"]): r["words"] for r in found} == want
+    assert len(found) == len(want) > 200 and {73, 70, 71, 74} <= {k for _, k in want}
 
 
 # mixing
