@@ -232,6 +232,15 @@ def test_mix_reaches_targets(spark):
     r = {x["source"]: x for x in report.collect()}
     assert r["a"]["share_of_total"] == pytest.approx(0.3, abs=0.01) and r["b"]["share_of_total"] == pytest.approx(0.5, abs=0.01)
     assert r["c"]["mixed_tokens"] == 0 and [s for s in "abc" if not r[s]["reachable"]] == ["c"]
+    # the report tells what the mix holds: a source short of its target has every document as often as allowed
+    assert all((r[s]["copies"], r[s]["mixed_tokens"]) == (sum(x["copies"] for x in mix.collect() if x["source"] == s), sum(x["copies"] * x["tokens"] for x in mix.collect() if x["source"] == s)) for s in "abc")
+    tight = spark.createDataFrame([("a", 0.9, 1), ("b", 0.1, 1)], "source string, target_share double, max_repeats int")
+    some, told = mixing.mix_sources(docs, tight, "id", "text", "source")
+    t = {x["source"]: x for x in told.collect()}
+    assert not t["a"]["reachable"] and t["a"]["exhausted"] and t["b"]["reachable"] and not t["b"]["exhausted"]
+    assert some.where("source = 'a'").agg({"copies": "max"}).first()[0] == 1
+    named = docs.selectExpr("concat('d', id) AS id", "text", "source")  # ids of another type
+    assert mixing.mix_sources(named, goals, "id", "text", "source")[0].dtypes[0] == ("id", "string")
     rows_ = mix.collect()
     assert len({x["id"] for x in rows_}) == len(rows_) and all(1 <= x["copies"] <= 4 for x in rows_)
     again, _ = mixing.mix_sources(docs, goals, "id", "text", "source")
