@@ -54,13 +54,46 @@ def test_copies_ties_and_odd_rows(spark):
     got = collected(vn.nearest_vectors(vectors(spark, np.array([*same, [9.0, 9.0]])), 3, 2))
     assert got[0] == [1, 2, 3] and got[39] == [0, 1, 2] and got[40] == [0, 1, 2]
     raw = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, None]), (3, None), (4, [float("nan"), 1.0]), (5, [0.0, 0.0]), (6, [1.0]), (None, [1.0, 1.0]), (7, [1.0, 2.5])], "key bigint, x array<double>").withColumn("id", F.lit("clash"))
-    v = vn.usable_vectors(raw, "key", "x", 2)
+    v = vn.usable_vectors(raw, "key", "x")
     assert collected(vn.nearest_vectors(v, 5, 2)) == {1: [7], 7: [1]}
     assert vn.nearest_vectors(v.where("id > 99"), 5, 2).count() == 0
     assert vn.nearest_vectors(v.where("id = 1"), 5, 2).count() == 0
     assert vn.nearest_vectors(v, 5, 2, max_distance=0.1).count() == 0
 
 
+@pytest.mark.parametrize("top", [256, 4])
+def test_long_vectors_and_two_levels(spark, monkeypatch, top):
+    monkeypatch.setattr(vn, "PART_ROWS", 60)
+    monkeypatch.setattr(vn, "TOP_PARTS", top)
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (900, 100))
+    x[600:700] = x[:100] + rng.normal(0, 0.2, (100, 100))
+    x[700] = x[5] + 1e6  # too large for 16 bits
+    x[701] = x[700] + 0.01
+    got = collected(vn.nearest_vectors(vectors(spark, x), 5, 100, max_distance=4.0))
+    assert got == {i: n for i, n in brute(x, 5, 4.0).items() if n} and len(got) > 200
+    some = collected(vn.nearest_vectors(vectors(spark, x), 3, 100, queries="id % 20 = 0", exact=True))
+    want = brute(x, 3)
+    assert some == {i: want[i] for i in range(0, 900, 20)}
+
+
+def test_crowded_vectors_ask_by_whole_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vn, "DENSE", 4)
+    monkeypatch.setattr(vn, "PART_ROWS", 80)
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 3, (500, 8))
+    x[:150] = x[0] + rng.normal(0, 0.01, (150, 8))
+    x[150:200] = x[200:250] + rng.normal(0, 0.05, (50, 8))
+    got = collected(vn.nearest_vectors(vectors(spark, x), 3, 8, max_distance=1.0))
+    assert got == {i: n for i, n in brute(x, 3, 1.0).items() if n}
+
+
+def test_arrays_of_arrays(spark):
+    rows = [(1, [[1.0, 2.0], [3.0, 4.0]]), (2, [[1.0, 2.0], [3.0, 4.5]]), (3, [[1.0, 2.0], [3.0]]), (4, [[1.0, 2.0], None]), (5, [[1.0, 2.0]]), (6, None), (7, [[0.0, 0.0], [0.0, 0.0]]), (8, [[1.0, None], [1.0, 2.0]])]
+    v = vn.usable_vectors(spark.createDataFrame(rows, "id bigint, v array<array<double>>"), "id", "v")
+    assert collected(vn.nearest_vectors(v, 5, (2, 2))) == {1: [2], 2: [1]}
+
+
 def test_graph_cut_is_balanced():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 6))

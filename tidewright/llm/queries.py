@@ -27,11 +27,9 @@ def p2_found(spark, sf):
 
 
 def _fields(spark, sf):
-    """(field, usable vectors, size, largest distance of a case)."""
-    rates = vector_neighbors.usable_vectors(read_table(spark, sf, "decoding_trials"), "trial_id", "rates", 22)
-    windows = read_table(spark, sf, "geoknn_windows")
-    shaped = F.when((F.size("x_train") == 64) & F.forall("x_train", lambda r: r.isNotNull() & (F.size(r) == 8)), F.flatten("x_train"))
-    return [("rates", rates, 22, 0.5), ("x_train", vector_neighbors.usable_vectors(windows, "window_id", shaped, 512), 512, 12.0)]
+    """(field, vectors, shape, largest distance of a case)."""
+    rates = vector_neighbors.usable_vectors(read_table(spark, sf, "decoding_trials"), "trial_id", "rates")
+    return [("rates", rates, (22,), 0.5), ("x_train", vector_neighbors.usable_vectors(read_table(spark, sf, "geoknn_windows"), "window_id", "x_train"), (64, 8), 12.0)]
 
 
 def p3_found(spark, sf):
