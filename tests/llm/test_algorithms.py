@@ -138,6 +138,22 @@ def test_clusters_of_shape(spark):
     assert all(got[r["medoid"]] == r["cluster"] and r["medoid"] == r["typical"][0] for r in c)
 
 
+def test_a_cluster_needs_rows_not_a_share(spark):
+    rng, s = np.random.default_rng(8), shapes()
+    rare = np.exp(-((np.arange(91) - 33) ** 2) / 32) - 0.7 * np.exp(-((np.arange(91) - 55) ** 2) / 60)
+    rows = [(i, rng.uniform(0.5, 2) * (np.roll(s[i % 3], rng.integers(-4, 5)) + rng.normal(0, 0.03, 91))) for i in range(6000)]
+    rows += [(7000 + i, rng.uniform(0.5, 2) * (np.roll(rare, rng.integers(-4, 5)) + rng.normal(0, 0.03, 91))) for i in range(20)]
+    rows += [(8000 + i, rng.normal(0, 0.3, 91)) for i in range(300)]
+    members, clusters = sc.shape_clusters(waves(spark, rows), "sid", "w", 91)
+    got = {r["sid"]: (r["cluster"], r["similarity"]) for r in members.collect()}
+    found = [got[7000 + i][0] for i in range(20)]
+    assert len(set(found) - {None}) == 1 and sum(f is None for f in found) <= 1
+    assert len({got[i][0] for i in range(6000)} - {None, *found}) == 3 and all(got[8000 + i][0] is None for i in range(300))
+    for c in clusters.collect():  # the typical members are the most similar ones of all
+        inside = sorted((-v[1], i) for i, v in got.items() if v[0] == c["cluster"])
+        assert c["typical"] == [i for _, i in inside[:3]] and c["size"] == len(inside)
+
+
 def test_clusters_of_nothing_and_of_copies(spark):
     for rows in ([], [(1, None)], [(1, shapes()[0])]):
         members, clusters = sc.shape_clusters(waves(spark, rows), "sid", "w", 91)

@@ -1,14 +1,15 @@
 """Clusters of mutually similar waveforms, by parallel pivot correlation clustering.
 
 Waveforms are smoothed and compared by their best normalised correlation over small shifts, so amplitude,
-gain and alignment don't matter. The clustering follows a hash order of the ids: in every round the
-waveforms that come first among the unclustered ones are examined together; those that aren't similar to
-an earlier pivot (local minima of the order) become pivots, and every unclustered waveform similar to a
-pivot is absorbed by the first such. Then pivots of the same shape are merged, members move to the closest
-pivot, and templates and medoids are recomputed.
-
-No similarity graph is built: a round compares the unclustered rows with a bounded number of pivots.
-Rounds end once everything left can't hold a cluster of the least size, up to an error of exp(-12).
+gain and alignment don't matter. The clustering follows a hash order of the ids. In every round the
+waveforms that come first among the unclustered ones are sent to all tasks; those without a similar earlier
+one (local minima of the order) are pivots, and every unclustered waveform similar to a pivot is absorbed.
+Rounds of this kind clear the large clusters. What is left is cut by hashed signs of random
+projections into buckets of a row or so, several times: rows of a small cluster fall into the same buckets. The
+first row of a bucket in hash order is its pivot, and pivots that absorb others there are tried
+against all that is left. So a cluster needs a number of rows, not a share of the table, and no row
+meets all others. Then pivots of the same shape are merged, members move to the closest pivot, and templates and
+medoids are recomputed.
 """
 
 from __future__ import annotations
@@ -18,12 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.llm.vector_neighbors import dense_rows
 from tidewright.session import checkpointed
 
 CELLS = 4_000_000
+ROUND_PIVOTS = 64
+BATCH_PIVOTS = 256
+TABLES = 8
 
 
 def _kernel(sigma: float) -> np.ndarray:
@@ -76,15 +82,162 @@ def similarity(x: np.ndarray, pivots: np.ndarray, shift: int, overlap: float = 0
     return best, arg
 
 
-def _vectors(col: pd.Series, n: int) -> np.ndarray:
-    return np.frombuffer(b"".join(col), dtype=np.float32).reshape(-1, n)
+def _pack(unit: np.ndarray) -> list[bytes]:
+    """Unit vectors in 16-bit numbers, which moves a correlation by less than 0.0001."""
+    top = np.maximum(np.abs(unit).max(1, keepdims=True), 1e-12)
+    return [r.tobytes() for r in np.rint(unit / top * 32767).astype(np.int16)]
 
 
-def usable(df: DataFrame, id_col: str, vector_col: str, length: int) -> DataFrame:
-    """Rows (id, v): arrays of ``length`` finite numbers that aren't constant zero, one per id."""
+def _vectors(col, n: int) -> np.ndarray:
+    x = np.frombuffer(b"".join(col), dtype=np.int16).reshape(-1, n).astype(np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def usable(df: DataFrame, id_col: str, vector_col: str, length: int, sigma: float) -> DataFrame:
+    """Rows (id, h, b, noise): smoothed arrays of ``length`` finite numbers that aren't all zero, one per id, in hash order h."""
+    id_type = df.schema[id_col].dataType.simpleString()
+    edge = min(3, length // 4)
+
+    def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, raw = dense_rows(batch.column("v"), (length,))
+            x = smooth(raw, sigma)
+            norm = np.maximum(np.linalg.norm(x, axis=1), 1e-12)
+            noise = np.linalg.norm((raw - x)[:, edge : length - edge], axis=1) / norm
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at)), pa.array(_pack(x / norm[:, None]), pa.binary()), pa.array(noise.astype(np.float32))], ["id", "b", "noise"])
+
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
-    sound = (F.size("v") == length) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    return rows.where(sound).groupBy("id").agg(F.min("v").alias("v"))
+    rows = rows.mapInArrow(prepare, f"id {id_type}, b binary, noise float").groupBy("id").agg(F.min(F.struct("b", "noise")).alias("r"))
+    return rows.select("id", F.xxhash64("id").alias("h"), "r.b", "r.noise")
+
+
+def local_minima(cand: np.ndarray, known: np.ndarray, shift: int, threshold: float) -> np.ndarray:
+    """Those of the candidates, in hash order, that are similar to no earlier candidate and to no known template."""
+    if not len(cand):
+        return cand
+    early = np.tril(similarity(cand, cand, shift)[0] >= threshold, -1).any(1)
+    if len(known):
+        early |= (similarity(cand, known, shift)[0] >= threshold).any(1)
+    return cand[~early]
+
+
+def _gathered(rows: DataFrame, cand: np.ndarray, known: np.ndarray, length: int, shift: int, threshold: float, passed: float) -> list:
+    """One row per pivot with members among ``rows``: (cluster, total, rows, apart, expected), pivots being the local minima of ``cand``.
+
+    total is the sum of the members, moved onto the pivot; apart the sum of their squared distances from it
+    and expected what their own noise makes of these. Summed per task first; one row per task and pivot is shuffled.
+    """
+    held = rows.sparkSession.sparkContext.broadcast((cand, known))
+    schema = "cluster int, total binary, rows bigint, apart double, expected double"
+
+    def gather(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        p = local_minima(*held.value, shift, threshold)
+        total, n, apart, expected = np.zeros((len(p), length)), np.zeros(len(p), int), np.zeros(len(p)), np.zeros(len(p))
+        for pdf in parts if len(p) else ():
+            x = _vectors(pdf["b"], length)
+            c, a = similarity(x, p, shift)
+            near, top = c.argmax(1), c.max(1)
+            inside = np.flatnonzero(top >= threshold)
+            moves = a[inside, near[inside]]
+            for k, s in {*zip(near[inside].tolist(), moves.tolist())}:
+                part = x[inside[(near[inside] == k) & (moves == s)]].sum(0)
+                if s <= 0:
+                    total[k, -s:] += part[: length + s]
+                else:
+                    total[k, :-s] += part[s:]
+            n += np.bincount(near[inside], minlength=len(p))
+            apart += np.bincount(near[inside], np.maximum(1 - top[inside].astype(float) ** 2, 0), minlength=len(p))
+            expected += np.bincount(near[inside], (passed * np.maximum(pdf["noise"].to_numpy()[inside], 0.01)) ** 2, minlength=len(p))
+        some = np.flatnonzero(n)
+        yield pd.DataFrame({"cluster": some, "total": [total[k].tobytes() for k in some], "rows": n[some], "apart": apart[some], "expected": expected[some]})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(t) for t in pdf["total"])
+        return pd.DataFrame({"cluster": [pdf["cluster"].iloc[0]], "total": [total.tobytes()], "rows": [pdf["rows"].sum()], "apart": [pdf["apart"].sum()], "expected": [pdf["expected"].sum()]})
+
+    return sorted(rows.mapInPandas(gather, schema).groupBy("cluster").applyInPandas(add, schema).collect(), key=lambda r: r["cluster"])
+
+
+def _means(stats: list, length: int) -> np.ndarray:
+    return np.array([np.frombuffer(r["total"]) / r["rows"] for r in stats], dtype=np.float32).reshape(-1, length)
+
+
+def _unlike(rows: DataFrame, cand: np.ndarray, known: np.ndarray, length: int, shift: int, threshold: float) -> DataFrame:
+    """The rows similar to none of the pivots among ``cand`` and none of the known templates."""
+    held = rows.sparkSession.sparkContext.broadcast((cand, known))
+
+    def keep(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cand_, known_ = held.value
+        p = np.concatenate([known_, local_minima(cand_, known_, shift, threshold)])
+        for pdf in parts:
+            yield pdf[similarity(_vectors(pdf["b"], length), p, shift)[0].max(1, initial=-1) < threshold] if len(p) else pdf
+
+    return checkpointed(rows.mapInPandas(keep, rows.schema))
+
+
+def _small_pivots(left: DataFrame, n: int, length: int, shift: int, threshold: float) -> DataFrame:
+    """Rows (h, id, b) that are first of a bucket and similar to at least two others of it, for hashed signs of random projections.
+
+    Rows are moved so that their largest value (in every other table: their smallest) stands in the middle. There are
+    twice as many buckets as rows, so unrelated rows seldom share one.
+    """
+    bits = min(60, max(4, math.ceil(math.log2(2 * n))))
+    id_type = left.schema["id"].dataType.simpleString()
+
+    def keys(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        planes = np.random.default_rng(9).normal(size=(TABLES, 2 * length, bits))
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        for pdf in parts:
+            x = _vectors(pdf["b"], length)
+            out = []
+            for t in range(TABLES):
+                at = x.argmax(1) if t % 2 else x.argmin(1)
+                moved = np.zeros((len(x), 2 * length), np.float32)
+                np.put_along_axis(moved, length - at[:, None] + np.arange(length), x, 1)
+                out.append(((moved @ planes[t] > 0) @ weights))
+            yield pd.DataFrame({"id": pdf["id"], "h": pdf["h"], "keys": list(np.stack(out, 1))})
+
+    places = left.mapInPandas(keys, f"id {id_type}, h bigint, keys array<bigint>").select("id", "h", F.posexplode("keys").alias("t", "key"))
+    first = places.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("h", "id")).alias("p")).where("n >= 3")
+    pairs = places.join(first.select("t", "key", F.col("p.id").alias("pivot")), ["t", "key"]).where("id <> pivot").select("id", "pivot").distinct()
+    met = pairs.join(left.select("id", "b"), "id").join(left.select(F.col("id").alias("pivot"), F.col("b").alias("pb")), "pivot")
+
+    def similar(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            x, y = _vectors(pdf["b"], length), _shifted(_vectors(pdf["pb"], length), shift)
+            c = np.einsum("ij,isj->is", x, y).max(1)
+            yield pdf.loc[c >= threshold, ["pivot"]]
+
+    some = met.mapInPandas(similar, f"pivot {id_type}").groupBy("pivot").count().where("count >= 2")
+    return checkpointed(left.join(some.select(F.col("pivot").alias("id")), "id", "left_semi").select("h", "id", "b"))
+
+
+def _templates(rows: DataFrame, n: int, length: int, threshold: float, min_rows: int, shift: int, passed: float) -> np.ndarray:
+    """Means of the rows around every pivot that has at least ``min_rows`` of them."""
+    none = np.zeros((0, length), np.float32)
+    templates, left, left_n = none, rows, n
+    while left_n >= min_rows:  # rounds for large clusters
+        first = left.select("h", "id", "b").orderBy("h", "id").limit(ROUND_PIVOTS).collect()
+        cand = _vectors([r["b"] for r in first], length)
+        stats = _gathered(left, cand, templates, length, shift, threshold, passed)
+        found = _means([r for r in stats if r["rows"] >= min_rows], length)
+        templates = _merged(np.concatenate([templates, found]), shift, threshold)
+        left = _unlike(left, cand, templates, length, shift, threshold)
+        before, left_n = left_n, left.count()
+        if before - left_n < 0.1 * before:
+            break
+    if left_n < min_rows:
+        return templates
+    rest, last = _small_pivots(left, left_n, length, shift, threshold), None
+    while True:  # every pivot that absorbed others in its bucket, BATCH_PIVOTS at a time
+        todo = rest if last is None else rest.where((F.col("h") > last["h"]) | (F.col("h") == last["h"]) & (F.col("id") > F.lit(last["id"])))
+        batch = todo.orderBy("h", "id").limit(BATCH_PIVOTS).collect()
+        if not batch:
+            return templates
+        last = batch[-1]
+        stats = _gathered(left, _vectors([r["b"] for r in batch], length), templates, length, shift, threshold, passed)
+        found = _means([r for r in stats if r["rows"] >= min_rows], length)
+        templates = _merged(np.concatenate([templates, found]), shift, threshold)
 
 
 def shape_clusters(
@@ -95,7 +248,7 @@ def shape_clusters(
     threshold: float = 0.95,
     keep: float = 0.94,
     excess: float = 1.9,
-    min_share: float = 0.004,
+    spread: float = 1.6,
     min_rows: int = 8,
     shift: int = 12,
     sigma: float = 2.0,
@@ -106,88 +259,24 @@ def shape_clusters(
 
     ``cluster`` is null for unusable arrays (null, of another length, with a null or NaN, all zero) and for
     waveforms of no cluster: not within ``keep`` of any template, further from it than ``excess`` times what
-    their own noise explains (so are superimposed shapes), or of a shape that fewer than ``min_rows`` rows
-    or fewer than ``min_share`` of the usable rows have. clusters: (cluster, size, medoid, typical
-    ids, mean similarity). Repeated rows of an id count once; an empty table gives two empty results.
+    their own noise explains, or of a shape that fewer than ``min_rows`` rows have, however large the table.
+    Groups whose members differ among themselves by more than ``spread`` times what their noise explains
+    (root mean square) aren't one shape: so are waveforms superimposed at varying lags. clusters: (cluster, size,
+    medoid, typical ids, mean similarity); among vectors of equal length moved onto the template the one
+    closest to their mean is the medoid. One template a cluster is held by the driver and every task.
+    Repeated rows of an id count once (one of them is taken if they differ); an empty table gives two empty results.
     """
-    spark = df.sparkSession
     id_type = df.schema[id_col].dataType.simpleString()
-    shared = spark.sparkContext.broadcast
-
-    def prepare(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            raw = np.array(pdf["v"].tolist(), dtype=float).reshape(-1, length)
-            x = smooth(raw, sigma)
-            norm = np.maximum(np.linalg.norm(x, axis=1), 1e-12)
-            unit = (x / norm[:, None]).astype(np.float32)
-            yield pd.DataFrame({"id": pdf["id"], "b": [r.tobytes() for r in unit], "noise": np.linalg.norm((raw - x)[:, edge : length - edge], axis=1) / norm})
-
-    edge = min(3, length // 4)
-    rows = usable(df, id_col, vector_col, length).mapInPandas(prepare, f"id {id_type}, b binary, noise double")
-    rows = checkpointed(rows.withColumn("h", F.xxhash64("id")))
-    n = rows.count()
-    least = max(min_rows, math.ceil(min_share * n))
-
-    left, pivots, left_n, m = rows, np.zeros((0, length), np.float32), n, 64
-    while left_n >= least:
-        enough = math.ceil(12 * left_n / least)
-        m = min(m, enough)
-        first = left.select("h", "id", "b").orderBy("h", "id").limit(m).collect()  # m <= 12 / min_share rows
-        cand = np.frombuffer(b"".join(r["b"] for r in first), dtype=np.float32).reshape(-1, length)
-        chosen: list[int] = []
-        sims = similarity(cand, cand, shift)[0]
-        for i in range(len(cand)):
-            if all(sims[i, j] < threshold for j in chosen):
-                chosen.append(i)
-        now = shared(cand[chosen])
-
-        def absorb(parts: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
-            p = now.value
-            for pdf in parts:
-                near = similarity(_vectors(pdf["b"], length), p, shift)[0] >= threshold
-                yield pdf.assign(pivot=np.where(near.any(1), near.argmax(1), -1))
-
-        done = checkpointed(left.mapInPandas(absorb, f"id {id_type}, b binary, noise double, h bigint, pivot int"))
-        sizes = {r["pivot"]: r["count"] for r in done.groupBy("pivot").count().collect()}
-        large = [c for c in range(len(chosen)) if sizes.get(c, 0) >= least / 4]
-        pivots = np.concatenate([pivots, cand[chosen][large]])
-        before, left_n = left_n, sizes.get(-1, 0)
-        left = done.where("pivot = -1").drop("pivot")
-        if not large and m == enough or left_n == before:
-            break
-        m *= 2
-
-    template_schema = "cluster int, total binary, rows bigint"
+    passed = noise_passed(sigma)
+    rows = checkpointed(usable(df, id_col, vector_col, length, sigma))
+    pivots = _templates(rows, rows.count(), length, threshold, min_rows, shift, passed)
     for turn in range(refinements + 1):
         pivots = _merged(pivots, shift, threshold)
         if not len(pivots):
             break
-        held = shared(pivots)
-
-        def gather(parts: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            p = held.value
-            total, rows_ = np.zeros((len(p), length)), np.zeros(len(p), int)
-            for pdf in parts:
-                x = _vectors(pdf["b"], length)
-                c, a = similarity(x, p, shift)
-                near, top = c.argmax(1), c.max(1)
-                for i in np.flatnonzero(top >= threshold):
-                    s, k = -int(a[i, near[i]]), near[i]
-                    if s >= 0:
-                        total[k, s:] += x[i, : length - s]
-                    else:
-                        total[k, :s] += x[i, -s:]
-                    rows_[k] += 1
-            yield pd.DataFrame({"cluster": range(len(p)), "total": [t.tobytes() for t in total], "rows": rows_})
-
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"cluster": [pdf["cluster"].iloc[0]], "total": [sum(np.frombuffer(t) for t in pdf["total"]).tobytes()], "rows": [pdf["rows"].sum()]})
-
-        # one row per task and template, added per template
-        sums = rows.mapInPandas(gather, template_schema).where("rows > 0").groupBy("cluster").applyInPandas(add, template_schema).collect()
-        sums = sorted((r for r in sums if r["rows"] >= least), key=lambda r: r["cluster"])
-        pivots = np.array([np.frombuffer(r["total"]) / r["rows"] for r in sums], dtype=np.float32).reshape(-1, length)
-    held, passed = shared(pivots), noise_passed(sigma)
+        stats = [r for r in _gathered(rows, pivots, pivots[:0], length, shift, threshold, passed) if r["rows"] >= min_rows]
+        pivots = _means([r for r in stats if turn < refinements or r["apart"] <= spread**2 * r["expected"]], length)
+    held = df.sparkSession.sparkContext.broadcast(pivots)
 
     def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = held.value
@@ -204,15 +293,14 @@ def shape_clusters(
             yield pd.DataFrame({"id": pdf["id"], "cluster": cluster, "similarity": top})
 
     members = checkpointed(rows.mapInPandas(assign, f"id {id_type}, cluster int, similarity double"))
-    # the best fitting members per cluster, first per task, then over all: never a whole cluster in one task
-    salted = members.where("cluster IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    best = salted.groupBy("cluster", "salt").agg(F.max(F.struct(F.col("similarity").alias("s"), F.col("id").alias("i"))).alias("m"), F.count(F.lit(1)).alias("size"), F.sum("similarity").alias("sum"))
-    clusters = best.groupBy("cluster").agg(
-        F.sum("size").alias("size"),
-        F.max("m").alias("m"),
-        F.slice(F.sort_array(F.collect_list("m"), asc=False), 1, typical).alias("t"),
-        (F.sum("sum") / F.sum("size")).alias("mean_similarity"),
-    ).select("cluster", "size", F.col("m.i").alias("medoid"), F.transform("t", lambda e: e["i"]).alias("typical"), "mean_similarity")
+    # the best fitting members per cluster, first per salt, then over all: never a whole cluster in one task
+    inside = members.where("cluster IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+    best = (F.col("similarity").desc(), F.col("id"))
+    few = inside.withColumn("r", F.row_number().over(Window.partitionBy("cluster", "salt").orderBy(*best))).where(F.col("r") <= typical)
+    few = few.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(*best))).where(F.col("r") <= typical)
+    few = few.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("r", "id"))).alias("t")).select("cluster", F.transform("t", lambda e: e["id"]).alias("typical"))
+    sizes = inside.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.avg("similarity").alias("mean_similarity"))
+    clusters = sizes.join(few, "cluster").select("cluster", "size", F.col("typical")[0].alias("medoid"), "typical", "mean_similarity")
     every = df.select(F.col(id_col).alias("id")).where("id IS NOT NULL").distinct().join(members, "id", "left")
     return every.withColumnRenamed("id", id_col), clusters
 
