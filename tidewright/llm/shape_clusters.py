@@ -4,12 +4,12 @@ Waveforms are smoothed and compared by their best normalised correlation over sm
 gain and alignment don't matter. The clustering follows a hash order of the ids. In every round the
 waveforms that come first among the unclustered ones are sent to all tasks; those without a similar earlier
 one (local minima of the order) are pivots, and every unclustered waveform similar to a pivot is absorbed.
-Rounds of this kind clear the large clusters. What is left is cut by hashed signs of random
-projections into buckets of a row or so, several times: rows of a small cluster fall into the same buckets. The
-first row of a bucket in hash order is its pivot, and pivots that absorb others there are tried
-against all that is left. So a cluster needs a number of rows, not a share of the table, and no row
-meets all others. Then pivots of the same shape are merged, members move to the closest pivot, and templates and
-medoids are recomputed.
+Rounds of this kind find the large clusters; pivots of the same shape are merged, members move to the closest
+pivot and templates are recomputed. What these don't explain is cut by hashed signs of random projections into
+buckets of a row or so, several times: rows of a small cluster fall into the same buckets. The first row of a
+bucket in hash order is its pivot, and pivots that absorb others there are tried against all that is left,
+then refined in the same way. So a cluster needs a number of rows, not a share of the table, and no row meets
+all others. At last medoids are recomputed.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from tidewright.session import checkpointed
 
 CELLS = 4_000_000
 ROUND_PIVOTS = 64
+LARGE = 256
 BATCH_PIVOTS = 256
 TABLES = 8
 
@@ -162,15 +163,13 @@ def _means(stats: list, length: int) -> np.ndarray:
     return np.array([np.frombuffer(r["total"]) / r["rows"] for r in stats], dtype=np.float32).reshape(-1, length)
 
 
-def _unlike(rows: DataFrame, cand: np.ndarray, known: np.ndarray, length: int, shift: int, threshold: float) -> DataFrame:
-    """The rows similar to none of the pivots among ``cand`` and none of the known templates."""
-    held = rows.sparkSession.sparkContext.broadcast((cand, known))
+def _unlike(rows: DataFrame, templates: np.ndarray, length: int, shift: int, threshold: float) -> DataFrame:
+    """The rows similar to none of the templates."""
+    held = rows.sparkSession.sparkContext.broadcast(templates)
 
     def keep(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cand_, known_ = held.value
-        p = np.concatenate([known_, local_minima(cand_, known_, shift, threshold)])
         for pdf in parts:
-            yield pdf[similarity(_vectors(pdf["b"], length), p, shift)[0].max(1, initial=-1) < threshold] if len(p) else pdf
+            yield pdf[similarity(_vectors(pdf["b"], length), held.value, shift)[0].max(1) < threshold]
 
     return checkpointed(rows.mapInPandas(keep, rows.schema))
 
@@ -212,24 +211,28 @@ def _small_pivots(left: DataFrame, n: int, length: int, shift: int, threshold: f
     return checkpointed(left.join(some.select(F.col("pivot").alias("id")), "id", "left_semi").select("h", "id", "b"))
 
 
-def _templates(rows: DataFrame, n: int, length: int, threshold: float, min_rows: int, shift: int, passed: float) -> np.ndarray:
-    """Means of the rows around every pivot that has at least ``min_rows`` of them."""
-    none = np.zeros((0, length), np.float32)
-    templates, left, left_n = none, rows, n
-    while left_n >= min_rows:  # rounds for large clusters
+def _large_templates(rows: DataFrame, n: int, length: int, threshold: float, min_rows: int, shift: int, passed: float) -> np.ndarray:
+    """Means of the rows around the pivots of rounds, as long as a round finds one with a LARGE-th part of what is left."""
+    templates, left, left_n = np.zeros((0, length), np.float32), rows, n
+    while left_n >= min_rows:
         first = left.select("h", "id", "b").orderBy("h", "id").limit(ROUND_PIVOTS).collect()
-        cand = _vectors([r["b"] for r in first], length)
-        stats = _gathered(left, cand, templates, length, shift, threshold, passed)
-        found = _means([r for r in stats if r["rows"] >= min_rows], length)
+        stats = _gathered(left, _vectors([r["b"] for r in first], length), templates, length, shift, threshold, passed)
+        found = _means([r for r in stats if r["rows"] >= max(min_rows, left_n / LARGE)], length)
+        if not len(found):
+            break
         templates = _merged(np.concatenate([templates, found]), shift, threshold)
-        left = _unlike(left, cand, templates, length, shift, threshold)
+        left = _unlike(left, templates, length, shift, threshold)
         before, left_n = left_n, left.count()
-        if before - left_n < 0.1 * before:
+        if left_n == before:
             break
-    if left_n < min_rows:
-        return templates
-    rest, last = _small_pivots(left, left_n, length, shift, threshold), None
-    while True:  # every pivot that absorbed others in its bucket, BATCH_PIVOTS at a time
+    return templates
+
+
+def _small_templates(left: DataFrame, n: int, length: int, threshold: float, min_rows: int, shift: int, passed: float) -> np.ndarray:
+    """Means of the rows around every pivot that absorbs others in its bucket and has ``min_rows`` among all that is left."""
+    templates = np.zeros((0, length), np.float32)
+    rest, last = _small_pivots(left, n, length, shift, threshold), None
+    while True:  # BATCH_PIVOTS at a time
         todo = rest if last is None else rest.where((F.col("h") > last["h"]) | (F.col("h") == last["h"]) & (F.col("id") > F.lit(last["id"])))
         batch = todo.orderBy("h", "id").limit(BATCH_PIVOTS).collect()
         if not batch:
@@ -248,7 +251,7 @@ def shape_clusters(
     threshold: float = 0.95,
     keep: float = 0.94,
     excess: float = 1.9,
-    spread: float = 1.6,
+    spread: float = 1.4,
     min_rows: int = 8,
     shift: int = 12,
     sigma: float = 2.0,
@@ -268,31 +271,48 @@ def shape_clusters(
     """
     id_type = df.schema[id_col].dataType.simpleString()
     passed = noise_passed(sigma)
-    rows = checkpointed(usable(df, id_col, vector_col, length, sigma))
-    pivots = _templates(rows, rows.count(), length, threshold, min_rows, shift, passed)
-    for turn in range(refinements + 1):
-        pivots = _merged(pivots, shift, threshold)
-        if not len(pivots):
-            break
-        stats = [r for r in _gathered(rows, pivots, pivots[:0], length, shift, threshold, passed) if r["rows"] >= min_rows]
-        pivots = _means([r for r in stats if turn < refinements or r["apart"] <= spread**2 * r["expected"]], length)
-    held = df.sparkSession.sparkContext.broadcast(pivots)
 
-    def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = held.value
-        for pdf in parts:
-            if len(p) and len(pdf):
-                c, _ = similarity(_vectors(pdf["b"], length), p, shift)
-                top, near = c.max(1).astype(float), c.argmax(1)
-                apart = np.sqrt(np.maximum(1 - top**2, 0))
-                member = (top >= keep) & (apart <= excess * passed * np.maximum(pdf["noise"].to_numpy(), 0.01))
-                cluster = pd.array(near, dtype="Int64")
-                cluster[~member] = pd.NA
-            else:
+    def refined(rows: DataFrame, pivots: np.ndarray) -> np.ndarray:
+        """Templates after members have moved to the closest one, without those of too few or too different members."""
+        for turn in range(refinements + 1):
+            pivots = _merged(pivots, shift, threshold)
+            if not len(pivots):
+                break
+            stats = [r for r in _gathered(rows, pivots, pivots[:0], length, shift, threshold, passed) if r["rows"] >= min_rows]
+            pivots = _means([r for r in stats if turn < refinements or r["apart"] <= spread**2 * r["expected"]], length)
+        return pivots
+
+    def assigned(rows: DataFrame, templates: np.ndarray, first: int) -> DataFrame:
+        """The rows with the closest template (numbered from ``first``) where it explains them, and the similarity to it."""
+        held = df.sparkSession.sparkContext.broadcast(templates)
+
+        def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            p = held.value
+            for pdf in parts:
                 top, cluster = np.zeros(len(pdf)), pd.array([pd.NA] * len(pdf), dtype="Int64")
-            yield pd.DataFrame({"id": pdf["id"], "cluster": cluster, "similarity": top})
+                if len(p) and len(pdf):
+                    c, _ = similarity(_vectors(pdf["b"], length), p, shift)
+                    top = c.max(1).astype(float)
+                    apart = np.sqrt(np.maximum(1 - top**2, 0))
+                    member = (top >= keep) & (apart <= excess * passed * np.maximum(pdf["noise"].to_numpy(), 0.01))
+                    cluster = pd.array(first + c.argmax(1), dtype="Int64")
+                    cluster[~member] = pd.NA
+                yield pdf.assign(cluster=cluster, similarity=top, b=pdf["b"].where(cluster.isna(), b""))
+
+        done = rows.mapInPandas(assign, f"id {id_type}, h bigint, b binary, noise float, cluster int, similarity double")
+        return checkpointed(done)  # members need their vectors no more
 
-    members = checkpointed(rows.mapInPandas(assign, f"id {id_type}, cluster int, similarity double"))
+    rows = checkpointed(usable(df, id_col, vector_col, length, sigma))
+    args = (length, threshold, min_rows, shift, passed)
+    large = refined(rows, _large_templates(rows, rows.count(), *args))
+    once = assigned(rows, large, 0)
+    left = once.where("cluster IS NULL").select("id", "h", "b", "noise")
+    left_n = left.count()
+    small = refined(left, _small_templates(left, left_n, *args)) if left_n >= min_rows else large[:0]
+    again = assigned(left, small, len(large)) if len(small) else once.where("cluster IS NULL")
+    members = once.where("cluster IS NOT NULL").select("id", "cluster", "similarity").unionByName(again.select("id", "cluster", "similarity"))
+    enough = [r["cluster"] for r in members.where("cluster IS NOT NULL").groupBy("cluster").count().where(F.col("count") >= min_rows).collect()]  # one row a template
+    members = checkpointed(members.withColumn("cluster", F.when(F.col("cluster").isin(enough), F.col("cluster"))))
     # the best fitting members per cluster, first per salt, then over all: never a whole cluster in one task
     inside = members.where("cluster IS NOT NULL").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     best = (F.col("similarity").desc(), F.col("id"))
