@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewright.session import checkpointed
+
 # Letters of other scripts that are drawn like Latin letters.
 LOOKALIKES = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y",
@@ -38,26 +40,39 @@ MARKS = "\u0300\u0301\u0302\u0303\u0304\u0306\u0307\u0308\u030a\u030b\u030c\u032
 LIGATURES = "\ufb00\ufb01\ufb02\ufb03\ufb04\u0132\u0133"
 
 
+def compiled(pairs: Iterable[tuple[str, str]]) -> dict[str, str]:
+    """The mapping of (source, canonical) pairs; two different targets of one source are a conflict."""
+    out: dict[str, str] = {}
+    for s, t in pairs:
+        if out.setdefault(s, t) != t:
+            raise ValueError(f"conflict: {s!r} -> {out[s]!r} and {t!r}")
+    return out
+
+
 def rules() -> dict[str, str]:
     """The whole mapping: source spelling -> canonical spelling."""
-    single = dict(LOOKALIKES) | dict(SIGNS) | dict.fromkeys(BLANKS, " ") | dict.fromkeys(INVISIBLE, "")
-    single |= {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
-    single |= {c: unicodedata.normalize("NFKC", c) for c in LIGATURES}
+    styled = [chr(c) for c in (*range(0x2160, 0x2180), *range(0x1D400, 0x1D6A4), *range(0x1D7CE, 0x1D800))]  # roman numerals, styled letters and digits
+    plain = [(c, unicodedata.normalize("NFKC", c)) for c in styled]
+    single = compiled((
+        *LOOKALIKES.items(), *SIGNS.items(), *((c, " ") for c in BLANKS), *((c, "") for c in INVISIBLE),
+        *((chr(c), chr(c - 0xFEE0)) for c in range(0xFF01, 0xFF5F)), *((c, unicodedata.normalize("NFKC", c)) for c in LIGATURES),
+        *((c, t) for c, t in plain if t != c and t.isascii() and t.isalnum()),
+    ))
     letters = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B))]
     sources: dict[str, list[str]] = {}
     for s, t in [*((c, c) for c in letters), *single.items()]:
         if len(t) == 1 and t.isalpha():
             sources.setdefault(t, []).append(s)
-    out = dict(single)
+    out = list(single.items())
     for base in letters:
         for mark in MARKS:
             target = unicodedata.normalize("NFC", base + mark)
             for s in sources[base]:
-                out[s + mark] = target
+                out.append((s + mark, target))
                 whole = unicodedata.normalize("NFC", s + mark)
                 if len(whole) == 1 and whole != target:
-                    out[whole] = target
-    return out
+                    out.append((whole, target))
+    return compiled(out)
 
 
 def check_rules(mapping: dict[str, str]) -> None:
@@ -131,19 +146,31 @@ def canonical(text: Column | str) -> Column:
     return _canonical(F.col(text) if isinstance(text, str) else text)
 
 
+def _keyed(df: DataFrame, id_col: str, text_col: str, with_text: bool) -> DataFrame:
+    """(_id, text_id, class_id), with the canonical text where wanted; kept, so that texts are rewritten once."""
+    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("_id IS NOT NULL AND _t IS NOT NULL")
+    rows = rows.groupBy("_id").agg(F.min("_t").alias("_t")).select("_id", F.xxhash64("_t").alias("text_id"), canonical("_t").alias("canonical"))
+    rows = rows.withColumn("class_id", F.sha2("canonical", 256))
+    return checkpointed(rows if with_text else rows.drop("canonical"))
+
+
+def _with_sizes(keyed: DataFrame) -> DataFrame:
+    """``keyed`` with the spellings and members of each class and the links (members of another spelling) of each row."""
+    same = keyed.groupBy("class_id", "text_id").agg(F.count(F.lit(1)).alias("same"))
+    every = Window.partitionBy("class_id")  # one row per spelling of a class
+    same = same.withColumn("members", F.sum("same").over(every)).withColumn("spellings", F.col("same") < F.col("members")).withColumn("links", F.col("members") - F.col("same"))
+    return keyed.join(same.drop("same"), ["class_id", "text_id"])
+
+
 def look_alike_classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per id: (id, canonical text, class_id, text_id, spellings, members).
+    """One row per id: (id, canonical text, class_id, text_id, spellings, members, links).
 
     ``class_id`` is a hash of the canonical text, ``text_id`` of the text as it stands, ``spellings`` tells
-    whether the class has more than one spelling. Rows with a null id or text are left out; repeated rows
-    of one id count once.
+    whether the class has more than one spelling, ``links`` how many members are spelled differently. Rows with
+    a null id or text are left out; repeated rows of one id count once (the smallest text, if they differ).
     """
-    rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("_id IS NOT NULL AND _t IS NOT NULL")
-    rows = rows.groupBy("_id").agg(F.min("_t").alias("_t"))
-    keyed = rows.select("_id", F.xxhash64("_t").alias("text_id"), canonical("_t").alias("canonical"))
-    keyed = keyed.withColumn("class_id", F.sha2("canonical", 256))
-    sizes = keyed.groupBy("class_id").agg((F.min("text_id") != F.max("text_id")).alias("spellings"), F.count(F.lit(1)).alias("members"))
-    return keyed.join(sizes, "class_id").select(F.col("_id").alias(id_col), "canonical", "class_id", "text_id", "spellings", "members")
+    c = _with_sizes(_keyed(df, id_col, text_col, True))
+    return c.select(F.col("_id").alias(id_col), "canonical", "class_id", "text_id", "spellings", "members", "links")
 
 
 def look_alike_pairs(df: DataFrame, id_col: str, text_col: str, rows_per_salt: int = 2000) -> DataFrame:
@@ -152,8 +179,8 @@ def look_alike_pairs(df: DataFrame, id_col: str, text_col: str, rows_per_salt: i
     Only classes with several spellings are joined; a large class is split into salts of about
     ``rows_per_salt`` rows on one side and repeated per salt on the other, so no task holds it whole.
     """
-    c = look_alike_classes(df, id_col, text_col).where("spellings").select(
-        F.col(id_col).alias("id"), "class_id", "text_id", F.ceil(F.col("members") / rows_per_salt).cast("int").alias("salts")
+    c = _with_sizes(_keyed(df, id_col, text_col, False)).where("spellings").select(
+        F.col("_id").alias("id"), "class_id", "text_id", F.ceil(F.col("members") / rows_per_salt).cast("int").alias("salts")
     )
     a = c.select("class_id", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"), F.col("id").alias("lo"), F.col("text_id").alias("t1"))
     b = c.select("class_id", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("id").alias("hi"), F.col("text_id").alias("t2"))

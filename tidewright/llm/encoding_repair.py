@@ -2,13 +2,15 @@
 
 Noisy channel: every word with a character outside ASCII gets a lattice of the byte sequences that could
 lie behind it, one per damage channel (how the bytes were misread), with a wildcard for bytes that were
-lost. Paths are scored by corpus word frequencies with a character model behind them for unseen words.
+lost: any byte the code page has no character for, so long as it completes a UTF-8 character with the bytes
+that survived. Paths are scored by corpus word frequencies with a character model behind them for unseen words.
 A Viterbi pass over the words of a text picks the channel at each word; entering damage costs, so a
 channel needs evidence, and staying in it is cheap. The frequencies are counted over all texts.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -18,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.session import checkpointed
+
 # The code pages that bytes are commonly misread in; the last resort of cp1252 is latin-1.
 PAGES = ("cp1252", "iso8859-15", "mac-roman", "cp850", "cp437")
 LOST = "�"
@@ -26,7 +30,7 @@ WORD = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 MARKS = frozenset("«»“”‘’–—…€£§°±½×µ№·")
 ENTER, LEAVE, STAY = -5.0, -2.0, -0.05
 KAPPA, NEVER = 0.5, -60.0
-DEPTH = 3
+DEPTH, READINGS = 3, 200
 
 
 @lru_cache(None)
@@ -66,6 +70,55 @@ def _as_utf8(word: str, page: str) -> str:
     return "".join(out)
 
 
+@lru_cache(None)
+def _unread(page: str) -> tuple[int, ...]:
+    """The bytes beyond ASCII that a code page has no character for, which reading it so loses."""
+    out = []
+    for b in range(0x80, 0x100):
+        try:
+            bytes([b]).decode(page)
+        except UnicodeDecodeError:
+            out.append(b)
+    return tuple(out)
+
+
+def _as_utf8_with_lost(word: str, page: str) -> list[list[str]]:
+    """Steps through the byte lattice of a word with lost bytes: what may stand at each place, in order.
+
+    A lost sign is a wildcard for the bytes the page can't read; a step is an ordinary character or every UTF-8
+    character that a run of bytes and wildcards can be. Empty if some lost sign is in no such run.
+    """
+    out: list[list[str]] = []
+    wild = _unread(page)
+    k = 0
+    while k < len(word):
+        c = word[k]
+        first = () if c.isascii() else wild if c == LOST else tuple(b for b in (_byte_of(c, page),) if b is not None)
+        found: list[str] = []
+        for size in (4, 3, 2):
+            run = word[k : k + size]
+            if len(run) < size or LOST not in run or any(x.isascii() for x in run):
+                continue
+            lead = range(0xC2, 0xE0) if size == 2 else range(0xE0, 0xF0) if size == 3 else range(0xF0, 0xF5)
+            rest = [wild if x == LOST else tuple(b for b in (_byte_of(x, page),) if b is not None) for x in run[1:]]
+            for bytes_ in itertools.product([b for b in first if b in lead], *[[b for b in r if 0x80 <= b < 0xC0] for r in rest]):
+                try:
+                    found.append(bytes(bytes_).decode("utf-8"))
+                except UnicodeDecodeError:
+                    pass
+            if found:
+                out.append(found)
+                k += size
+                break
+        if found:
+            continue
+        if c == LOST:
+            return []
+        out.append([c])
+        k += 1
+    return out
+
+
 def _as_latin(word: str, page: str) -> str | None:
     """The word with every character read on ``page`` replaced by what its byte is in a Western code page."""
     out = []
@@ -78,22 +131,31 @@ def _as_latin(word: str, page: str) -> str | None:
     return "".join(out)
 
 
-def lattice(word: str) -> dict[str, str]:
-    """Channel -> what was written, for each channel under which the word is damaged."""
-    out: dict[str, str] = {}
-    if LOST in word:
-        return out
+def lattice(word: str, chars: dict[str, float] | None = None) -> list[tuple[str, str]]:
+    """(channel, what was written) for each channel under which the word is damaged; several readings where bytes were lost.
+
+    Readings beyond READINGS are left to the characters' frequencies ``chars``: the likeliest at each place.
+    """
+    out: list[tuple[str, str]] = []
     for page in PAGES:
+        if LOST in word:
+            steps = _as_utf8_with_lost(word, page)
+            if steps and math.prod(map(len, steps)) > READINGS:
+                steps = [[max(s, key=lambda x: (chars or {}).get(x, 0.0))] for s in steps]
+            # what stands beside the lost bytes may be damaged too
+            out += sorted({(f"utf8>{page}", _as_utf8("".join(r), page)) for r in itertools.product(*steps)}) if steps else []
+            continue
         seen = word
         for depth in range(1, DEPTH + 1):
             was = _as_utf8(seen, page)
             if was == seen:
                 break
-            out[f"utf8>{page}" + (f" x{depth}" if depth > 1 else "")] = seen = was
+            seen = was
+            out.append((f"utf8>{page}" + (f" x{depth}" if depth > 1 else ""), seen))
         if page in ("mac-roman", "cp850", "cp437"):
             was = _as_latin(word, page)
             if was and was != word and not was.isascii() and any(c.isalpha() for c in was):  # a lone sign is no evidence
-                out[f"latin>{page}"] = was
+                out.append((f"latin>{page}", was))
     return out
 
 
@@ -101,12 +163,12 @@ def fold(word: str) -> str:
     return word.lower() if len(word) > 1 and word.isupper() else word
 
 
-def _candidates(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _candidates(parts: Iterator[pd.DataFrame], chars: dict[str, float]) -> Iterator[pd.DataFrame]:
     for pdf in parts:
         rows = []
         for w, n in zip(pdf["word"], pdf["n"]):
             rows.append((w, n, "", fold(w), w))
-            rows += [(w, n, ch, fold(x), x) for ch, x in lattice(w).items()]
+            rows += [(w, n, ch, fold(x), x) for ch, x in lattice(w, chars)]
         yield pd.DataFrame(rows, columns=["word", "n", "channel", "form", "written"])
 
 
@@ -139,7 +201,11 @@ def _score(parts: Iterator[pd.DataFrame], chars: dict[str, float], total: float)
                 known = max(f for _, _, f in reads)
                 kept = own * min(1.0, plain / best) if known <= own else 0.0
                 clean = math.log((plain + kept) / total)
-            scored = [(c, x, math.log((model(x) + f) / total)) for c, x, f in reads]
+            best_of: dict[str, tuple[str, str, float]] = {}
+            for c, x, f in reads:  # the likeliest reading of each channel
+                one = (c, x, math.log((model(x) + f) / total))
+                best_of[c] = max(best_of.get(c, one), one, key=lambda o: (o[2], o[1]))
+            scored = list(best_of.values())
             if LOST in w and not scored:
                 scored = [("lost", w, math.log(1e-9 / total))]
             if not scored:
@@ -211,8 +277,8 @@ def repair_encoding(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("_id IS NOT NULL AND _t IS NOT NULL")
     id_type = rows.schema["_id"].dataType.simpleString()
-    rows = rows.groupBy("_id").agg(F.min("_t").alias("_t"))
-    words = rows.select(F.explode(F.split("_t", BREAKS)).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rows = checkpointed(rows.groupBy("_id").agg(F.min("_t").alias("_t")))
+    words = checkpointed(rows.select(F.explode(F.split("_t", BREAKS)).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     upper = (F.length("word") > 1) & (F.upper("word") == F.col("word")) & (F.lower("word") != F.col("word"))
     forms = words.groupBy(F.when(upper, F.lower("word")).otherwise(F.col("word")).alias("form")).agg(F.sum("n").alias("freq"))
     odd = words.where(F.col("word").rlike(r"[^\x00-\x7f]"))
@@ -224,13 +290,13 @@ def repair_encoding(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     model = {c: n / every for c, n in counted.items()}
     total = float(words.agg(F.sum("n")).first()[0] or 1)
 
-    read = odd.mapInPandas(_candidates, "word string, n bigint, channel string, form string, written string")
+    read = odd.mapInPandas(lambda it: _candidates(it, model), "word string, n bigint, channel string, form string, written string")
     scored = read.join(forms, "form", "left").select("word", "channel", "written", F.coalesce("freq", F.lit(0)).alias("freq"))
 
     # wildcards: a run of lost bytes stands for one or more characters outside ASCII
     mask = lambda c: F.regexp_replace(c, r"[^\x00-\x7f]+", LOST)
     run = r"[^\x00-\x7f]+"
-    holes = odd.where(F.contains("word", F.lit(LOST))).select("word", F.when(upper, F.lower("word")).otherwise(F.col("word")).alias("low")).select("word", mask("low").alias("mask"))
+    holes = odd.where(F.contains("word", F.lit(LOST))).select("word", F.when(upper, F.lower("word")).otherwise(F.col("word")).alias("low")).select("word", mask("low").alias("mask")).where(F.col("mask") != LOST)  # a word without any ASCII tells nothing
     whole = forms.where(F.col("form").rlike(r"[^\x00-\x7f]") & ~F.contains("form", F.lit(LOST))).select("form", "freq", mask("form").alias("mask"))
     sizes = lambda c: F.transform(F.regexp_extract_all(c, F.lit(run), F.lit(0)), lambda x: F.length(x))
     fits = F.forall(F.zip_with(sizes("word"), sizes("form"), lambda k, j: (j <= k) & (k <= 3 * j)), lambda b: b)

@@ -3,8 +3,9 @@
 A linear classifier over averaged embeddings of hashed subwords (words and their character n-grams),
 trained by stochastic gradient descent in numpy on sentences of a bounded sample of labelled documents.
 Sentences whose label the first model firmly rejects are left out of a second training, so wrong labels
-and mixed documents do little harm. Probabilities are calibrated by a temperature on held-out sentences;
-below a confidence bound set there a sentence gives no evidence and joins its neighbours.
+and mixed documents do little harm. Probabilities are calibrated by a temperature on all sentences of held-out
+documents, together with the share of labels that are wrong; below a confidence bound set there a sentence
+gives no evidence and joins its neighbours.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.llm.canonical_text import transducer
@@ -34,10 +36,30 @@ ASIDE = re.compile(r"\([^()]*\)")
 MIN_LETTERS = 16
 
 
+@lru_cache(1)
 def label_map() -> dict[str, str]:
     return {s: lang for lang, spellings in LANGUAGES.items() for s in spellings}
 
 
+SUBTAG = re.compile(r"^([^\W\d_]+)[-_ (]")
+
+
+def named_language(label: object) -> str | None:
+    """The language a label names: a code or name in any case, alone or before a region or another addition."""
+    if not isinstance(label, str):
+        return None
+    names, said = label_map(), label.strip().lower()
+    m = SUBTAG.match(said)
+    return names.get(said) or (names.get(m.group(1)) if m else None)
+
+
+def named_language_column(label: str) -> Column:
+    """``named_language`` as an expression."""
+    names = F.create_map(*[F.lit(x) for kv in label_map().items() for x in kv])
+    said = F.lower(F.regexp_replace(F.col(label).cast("string"), r"^\s+|\s+$", ""))
+    return F.coalesce(F.element_at(names, said), F.element_at(names, F.regexp_extract(said, r"^(\p{L}+)[-_ (]", 1)))
+
+
 def sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) of each sentence; closing quotes belong to it, blank ones are left out."""
     out, at = [], 0
@@ -63,7 +85,7 @@ def features(sentence: str, buckets: int) -> np.ndarray:
 
 @dataclass
 class SubwordModel:
-    """Averaged embeddings and a linear softmax; ``temperature`` and ``floor`` are the calibration."""
+    """Averaged embeddings and a linear softmax; ``temperature``, ``floor`` and ``noise`` (share of wrong labels) are the calibration."""
 
     languages: list[str]
     embed: np.ndarray
@@ -71,6 +93,7 @@ class SubwordModel:
     bias: np.ndarray
     temperature: float = 1.0
     floor: float = 0.5
+    noise: float = 0.0
 
     def logits(self, ids: np.ndarray) -> np.ndarray:
         return (self.embed[ids].mean(0) @ self.weight + self.bias) if len(ids) else np.zeros(len(self.languages))
@@ -115,40 +138,54 @@ def train(data: list[tuple[np.ndarray, int]], languages: list[str], buckets: int
 
 
 def calibrate(model: SubwordModel, held: list[tuple[np.ndarray, int]], error: float = 0.02) -> None:
-    """Temperature of the least log loss, then the lowest confidence bound under which the error rate stays within ``error``."""
+    """Temperature and share of wrong labels of the least log loss, then the lowest confidence bound within ``error``.
+
+    The labels of held-out sentences are wrong at times, as those of the others; a label that is wrong names any
+    language. The error rate above a bound is what exceeds the share of such labels. If no bound keeps within
+    ``error``, sentences give evidence only at the highest one.
+    """
     if not held:
         return
     z = np.array([model.logits(i) for i, _ in held], dtype=float)
     y = np.array([t for _, t in held])
 
     def scaled(t: float) -> np.ndarray:
-        a = z / t - (z / t).max(1, keepdims=True)
-        return a - np.log(np.exp(a).sum(1, keepdims=True))
+        a = np.exp(z / t - (z / t).max(1, keepdims=True))
+        return a / a.sum(1, keepdims=True)
+
+    def loss(t: float, noise: float) -> float:
+        return float(-np.log((1 - noise) * scaled(t)[np.arange(len(y)), y] + noise / z.shape[1] + 1e-12).mean())
 
-    model.temperature = float(min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=lambda t: -scaled(t)[np.arange(len(y)), y].mean()))
-    p = np.exp(scaled(model.temperature))
+    grid = [(t, e) for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0) for e in (0.0, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3)]
+    model.temperature, model.noise = min(grid, key=lambda g: loss(*g))
+    p = scaled(model.temperature)
     top, right = p.max(1), p.argmax(1) == y
-    for floor in np.arange(0.4, 0.96, 0.05):
-        kept = top >= floor
-        if kept.any() and 1 - right[kept].mean() <= error:
+    floor = 0.95
+    for bound in np.arange(0.4, 0.96, 0.05):
+        kept = top >= bound
+        if kept.any() and 1 - right[kept].mean() - model.noise * (1 - 1 / z.shape[1]) <= error:
+            floor = bound
             break
     model.floor = float(floor)
 
 
-def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = 4000, buckets: int = 1 << 14, dim: int = 12, steps: tuple[int, int] = (25_000, 60_000), seed: int = 5) -> SubwordModel:
-    """Train on at most ``max_rows`` labelled rows, drawn evenly by a hash of the id (a bounded sample), in between ``steps[0]`` and ``steps[1]`` steps."""
-    names = F.create_map(*[F.lit(x) for kv in label_map().items() for x in kv])
-    labelled = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.element_at(names, F.lower(F.trim(F.col(label_col)))).alias("_y"))
-    labelled = labelled.where("_y IS NOT NULL AND _t IS NOT NULL")
+def fit(
+    df: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int = 4000, max_chars: int = 20_000, buckets: int = 1 << 14, dim: int = 12, steps: tuple[int, int] = (25_000, 60_000), seed: int = 5
+) -> SubwordModel:
+    """Train on at most ``max_rows`` labelled rows of at most ``max_chars`` characters, drawn evenly by a hash of the id (a bounded sample), in between ``steps[0]`` and ``steps[1]`` steps.
+
+    Every fifth row of the sample is held out whole.
+    """
+    labelled = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), named_language_column(label_col).alias("_y"))
+    labelled = labelled.where(F.col("_y").isNotNull() & F.col("_t").isNotNull() & (F.length("_t") <= max_chars))
     sample = labelled.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(max_rows).collect()
     languages, clean = sorted(LANGUAGES), transducer()
-    data = []
-    for r in sample:
+    rest, held = [], []
+    for k, r in enumerate(sample):
         text = clean(r["_t"])
         for a, b in sentences(text):
             if sum(c.isalpha() for c in text[a:b]) >= MIN_LETTERS:
-                data.append((features(text[a:b], buckets), languages.index(r["_y"])))
-    held, rest = data[::5], [d for k, d in enumerate(data) if k % 5]
+                (rest if k % 5 else held).append((features(text[a:b], buckets), languages.index(r["_y"])))
     if not rest:
         return SubwordModel(languages, np.zeros((buckets, dim), np.float32), np.zeros((dim, len(languages)), np.float32), np.zeros(len(languages), np.float32), floor=1.1)
     # ten rounds over the sentences, within bounds: a small sample needs more of them, a large one fewer
@@ -158,7 +195,7 @@ def fit(df: DataFrame, id_col: str, text_col: str, label_col: str, max_rows: int
     agrees = lambda d: np.argmax(z := first.logits(d[0])) == d[1] or z.max() - z[d[1]] < 2 * first.temperature
     kept = [d for d in rest if agrees(d)]
     model = train(kept, languages, buckets, dim, epochs(len(kept)), seed)
-    calibrate(model, [d for d in held if agrees(d)])
+    calibrate(model, held)
     return model
 
 
@@ -207,7 +244,6 @@ def language_segments(df: DataFrame, id_col: str, text_col: str, label_col: str,
     count once.
     """
     model = model or fit(df, id_col, text_col, label_col)
-    names = label_map()
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,7 +251,7 @@ def language_segments(df: DataFrame, id_col: str, text_col: str, label_col: str,
         for pdf in parts:
             rows = []
             for _id, text, label in zip(pdf["_id"], pdf["_t"], pdf["_y"]):
-                said = names.get(label.strip().lower()) if isinstance(label, str) else None
+                said = named_language(label)
                 found = segment(clean(text), m)
                 for k, (a, b, lang, p) in enumerate(found):
                     rows.append((_id, k, lang, p, a, b, len(found), said, len(found) == 1 and lang is not None and said == lang))

@@ -57,7 +57,7 @@ def p4_found(spark, sf):
 
 def p4_classes(spark, sf):
     """Every piece with its class of look-alike texts."""
-    return canonical_text.look_alike_classes(read_table(spark, sf, "load_corpora"), "piece_id", "text").select("piece_id", "class_id", "spellings", "members", "canonical")
+    return canonical_text.look_alike_classes(read_table(spark, sf, "load_corpora"), "piece_id", "text").select("piece_id", "class_id", "spellings", "members", "links", "canonical")
 
 
 def _clusters(spark, sf):

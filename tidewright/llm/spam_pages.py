@@ -145,12 +145,13 @@ def spam_pages(
     else:
         judged = vectors.withColumn("page_probability", F.coalesce(F.col("label").cast("double"), F.lit(0.0)))
     empty = (F.col("words") + F.col("links") + F.col("tags")) == 0
-    judged = judged.select("_id", "_host", F.when(empty, 0.0).otherwise(F.col("page_probability")).alias("page_probability"))
+    judged = checkpointed(judged.select("_id", "_host", F.when(empty, 0.0).otherwise(F.col("page_probability")).alias("page_probability")))  # judged once
     overall = judged.agg(F.avg((F.col("page_probability") >= 0.5).cast("double"))).first()[0] or 0.0
-    rates = judged.groupBy("_host").agg(((F.sum((F.col("page_probability") >= 0.5).cast("double")) + prior_pages * overall) / (F.count(F.lit(1)) + prior_pages)).alias("host_rate"))
+    hosted = judged.where("_host IS NOT NULL")  # pages without a host meet no rate, so they don't gather in one task either
+    rates = hosted.groupBy("_host").agg(((F.sum((F.col("page_probability") >= 0.5).cast("double")) + prior_pages * overall) / (F.count(F.lit(1)) + prior_pages)).alias("host_rate"))
     logit = lambda p: F.log(p / (1 - p))
     bounded = lambda c: F.least(F.greatest(c, F.lit(1e-3)), F.lit(1 - 1e-3))
-    out = judged.join(rates.where("_host IS NOT NULL"), "_host", "left").withColumn("host_rate", F.coalesce("host_rate", F.lit(overall)))
+    out = hosted.join(rates, "_host").unionByName(judged.where("_host IS NULL").withColumn("host_rate", F.lit(float(overall))))
     shifted = logit(bounded(F.col("page_probability"))) + smoothing * (logit(bounded(F.col("host_rate"))) - logit(bounded(F.lit(float(overall)))))
     out = out.withColumn("probability", 1 / (1 + F.exp(-shifted)))
     return out.select(F.col("_id").alias(id_col), F.col("_host").alias("host"), "page_probability", "host_rate", "probability", (F.col("probability") >= 0.5).alias("is_spam"))
