@@ -20,17 +20,13 @@ def user_series(spark, sf):
 
 
 def user_frames(spark, sf):
-    return series.frames(user_series(spark, sf), ["user_id"], "i", "v", FRAME)
-
-
-def whole_frames(spark, sf):
-    """As user_frames, with the shorter last frame of every user."""
+    """Every user's series in frames; the last one of a user is a signal of its own, shorter length."""
     return series.frames(user_series(spark, sf), ["user_id"], "i", "v", FRAME, partial=True)
 
 
 SERIES_SQL = "ser AS (SELECT user_id, event_id, value AS v, cast(regexp_extract(props, '([0-9]+)', 1) AS int) % 10 AS r4, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events)"
-FRAMES_SQL = f"""{SERIES_SQL}, cut AS (SELECT user_id, i // {FRAME} AS frame, cast(i % {FRAME} AS int) AS p, v, count(*) OVER (PARTITION BY user_id, i // {FRAME}) AS c FROM ser),
-fr AS (SELECT user_id, frame, p, v FROM cut WHERE c = {FRAME})"""
+# n: the length of the frame
+FRAMES_SQL = f"{SERIES_SQL}, fr AS (SELECT user_id, i // {FRAME} AS frame, cast(i % {FRAME} AS int) AS p, v, count(*) OVER (PARTITION BY user_id, i // {FRAME}) AS n FROM ser)"
 
 
 def exploded(frames, column, name="v"):
@@ -85,24 +81,20 @@ def trial_average(spark, sf):
     return series.trial_average(e, "hour", "value").select("hour", r6("mean"), "repeats")
 
 
-def moving_avg5(spark, sf):
-    return exploded(user_frames(spark, sf), A.moving_average("x"))
-
-
-def smooth_twice(spark, sf):
-    return exploded(user_frames(spark, sf), A.moving_average(A.moving_average("x")))
+def _smooth(spark, sf, times):
+    """Every user's whole series smoothed, under the frame and place of each value; only a series' own ends stay."""
+    s = user_series(spark, sf).select("user_id", "i", "v")
+    for _ in range(times):
+        s = series.smoothed(s, ["user_id"], "i", "v")
+    return s.select("user_id", F.floor(F.col("i") / FRAME).alias("frame"), (F.col("i") % FRAME).cast("int").alias("p"), r6("v"))
 
 
-def _whole_smooth(times):
-    """Every user's whole series smoothed, under the frame and place of each value; only a series' own ends stay."""
+def moving_avg5(spark, sf):
+    return _smooth(spark, sf, 1)
 
-    def query(spark, sf):
-        s = user_series(spark, sf).select("user_id", "i", "v")
-        for _ in range(times):
-            s = series.smoothed(s, ["user_id"], "i", "v")
-        return s.select("user_id", F.floor(F.col("i") / FRAME).alias("frame"), (F.col("i") % FRAME).cast("int").alias("p"), r6("v"))
 
-    return query
+def smooth_twice(spark, sf):
+    return _smooth(spark, sf, 2)
 
 
 def pearson(spark, sf):
@@ -118,8 +110,7 @@ def xcorr_lag(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (rate_distributions, roc_curve, auc, auc_mannwhitney, decoding_auc, zscore, snr, trial_average, moving_avg5, smooth_twice, pearson, spearman, xcorr_lag)}
-#: Over whole series, without SQL: the SQL of the plain names keeps full frames only.
-QUERIES |= {"moving_avg5_whole": _whole_smooth(1), "smooth_twice_whole": _whole_smooth(2)}
+QUERIES |= {"moving_avg5_whole": moving_avg5, "smooth_twice_whole": smooth_twice}  # earlier names of the same
 DIST_SQL = """
 c AS (SELECT l_returnflag AS condition, cast(l_quantity AS bigint) AS k, count(*) AS n FROM lineitem WHERE l_returnflag IS NOT NULL AND l_quantity IS NOT NULL GROUP BY ALL),
 t AS (SELECT condition, sum(n) AS total FROM c GROUP BY ALL), sp AS (SELECT condition, total, unnest(range((SELECT max(k) + 1 FROM c))) AS k FROM t),
@@ -127,7 +118,9 @@ dist AS (SELECT sp.condition, sp.k, coalesce(n, 0) / total AS p FROM sp LEFT JOI
 CURVE_SQL = f"""{DIST_SQL},
 tails AS (SELECT condition, k, sum(p) OVER (PARTITION BY condition ORDER BY k DESC) AS s FROM dist),
 curve AS (SELECT k, sum(s) FILTER (condition = 'A') AS fpr, sum(s) FILTER (condition = 'R') AS tpr FROM tails GROUP BY k UNION ALL SELECT max(k) + 1, 0, 0 FROM tails)"""
-MA = "CASE WHEN p < 2 OR p >= 30 THEN {v} ELSE avg({v}) OVER (PARTITION BY user_id, frame ORDER BY p ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) END"
+MA = "CASE WHEN i < 2 OR i >= n - 2 THEN v ELSE avg(v) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) END AS v"
+SMOOTH_SQL = f"{SERIES_SQL}, s0 AS (SELECT user_id, i, v, count(*) OVER (PARTITION BY user_id) AS n FROM ser), s1 AS (SELECT user_id, i, n, {MA} FROM s0), s2 AS (SELECT user_id, i, n, {MA} FROM s1)"
+PLACED = f"SELECT user_id, i // {FRAME} AS frame, cast(i % {FRAME} AS int) AS p, round(v, 6) + 0.0 AS v"
 ORACLES = {
     "rate_distributions": f"WITH {DIST_SQL} SELECT condition, k, round(p, 6) + 0.0 AS p FROM dist",
     "roc_curve": f"WITH {CURVE_SQL} SELECT k, round(fpr, 6) + 0.0 AS fpr, round(tpr, 6) + 0.0 AS tpr FROM curve",
@@ -139,9 +132,10 @@ SELECT a.neuron, round(avg(CASE WHEN b.k > a.k THEN 1.0 WHEN b.k = a.k THEN 0.5
     "zscore": "SELECT event_id, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 6) + 0.0 AS z FROM events WINDOW w AS (PARTITION BY event_type)",
     "snr": "WITH m AS (SELECT event_type, value, avg(value) OVER (PARTITION BY event_type, user_id) AS s FROM events), p AS (SELECT event_type, avg(s * s) / avg((value - s) * (value - s)) AS q FROM m GROUP BY 1) SELECT event_type, round(q, 6) + 0.0 AS snr_power, round(10 * log10(q), 6) + 0.0 AS snr_db, round(sqrt(q), 6) + 0.0 AS snr_rms FROM p",
     "trial_average": "SELECT cast(hour(ts) AS int) AS hour, round(avg(value), 6) + 0.0 AS mean, count(value) AS repeats FROM events GROUP BY 1",
-    "moving_avg5": f"WITH {FRAMES_SQL} SELECT user_id, frame, p, round({MA.format(v='v')}, 6) + 0.0 AS v FROM fr",
-    "smooth_twice": f"WITH {FRAMES_SQL}, one AS (SELECT user_id, frame, p, {MA.format(v='v')} AS v FROM fr) SELECT user_id, frame, p, round({MA.format(v='v')}, 6) + 0.0 AS v FROM one",
+    "moving_avg5": f"WITH {SMOOTH_SQL} {PLACED} FROM s1",
+    "smooth_twice": f"WITH {SMOOTH_SQL} {PLACED} FROM s2",
     "pearson": "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) + 0.0 AS r FROM lineitem GROUP BY 1",
     "spearman": "WITH r AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS a, rank() OVER (PARTITION BY l_returnflag ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_returnflag, l_discount) - 1) / 2 AS b FROM lineitem WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL) SELECT l_returnflag, round(corr(a, b), 6) + 0.0 AS spearman FROM r GROUP BY 1",
     "xcorr_lag": f"WITH {SERIES_SQL}, lags AS (SELECT unnest(range(-10, 11)) AS lag), u AS (SELECT DISTINCT user_id FROM ser), m AS (SELECT b.user_id, a.i - b.i AS lag, sum(a.v * b.r4) AS r FROM ser a JOIN ser b ON a.user_id = b.user_id AND a.i BETWEEN b.i - 10 AND b.i + 10 GROUP BY ALL) SELECT u.user_id, lags.lag, round(coalesce(r, 0.0), 4) AS r FROM u CROSS JOIN lags LEFT JOIN m ON m.user_id = u.user_id AND m.lag = lags.lag",
 }
+ORACLES |= {"moving_avg5_whole": ORACLES["moving_avg5"], "smooth_twice_whole": ORACLES["smooth_twice"]}
