@@ -11,29 +11,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DOUBLES = T.ArrayType(T.DoubleType())
-COMPLEX = T.ArrayType(T.StructType([T.StructField("re", T.DoubleType()), T.StructField("im", T.DoubleType())]))
+
+
+def _by_length(cols: list[pd.Series], work) -> list:
+    """``work`` on matrices of the rows whose arrays have the same lengths; null where one is null, empty where all are empty."""
+    out: list = [None] * len(cols[0])
+    groups: dict[tuple, list[int]] = {}
+    for k, arrays in enumerate(zip(*cols)):
+        if all(a is not None for a in arrays):
+            groups.setdefault(tuple(map(len, arrays)), []).append(k)
+    for lengths, rows in groups.items():
+        done = work(*[np.array([c.iloc[k] for k in rows], dtype=float) for c in cols]) if max(lengths) else [[]] * len(rows)
+        for k, r in zip(rows, done):
+            out[k] = r
+    return out
 
 
 def fft(x: Column) -> Column:
-    """Fast Fourier transform of arrays of any length: array<struct<re, im>>."""
+    """Fast Fourier transform of arrays of any length: array<struct<re, im>>; arrays of one length are transformed together."""
 
-    @F.pandas_udf(COMPLEX)
-    def udf(col: pd.Series) -> pd.Series:
-        return col.map(lambda a: None if a is None else [{"re": float(z.real), "im": float(z.imag)} for z in (np.fft.fft(a) if len(a) else [])])
+    @F.pandas_udf("re array<double>, im array<double>")
+    def udf(col: pd.Series) -> pd.DataFrame:
+        z = _by_length([col], lambda a: np.fft.fft(a, axis=1))
+        return pd.DataFrame({"re": [None if v is None else np.real(v) for v in z], "im": [None if v is None else np.imag(v) for v in z]})
 
-    return udf.asNondeterministic()(x)
+    z = udf.asNondeterministic()(x)
+    return F.arrays_zip(z["re"].alias("re"), z["im"].alias("im"))
 
 
 def circular_convolution_fft(x: Column, y: Column) -> Column:
     """Circular convolution by the transform; the shorter array is padded with zeros."""
 
+    def work(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n = max(a.shape[1], b.shape[1])
+        return np.fft.ifft(np.fft.fft(a, n, axis=1) * np.fft.fft(b, n, axis=1), axis=1).real
+
     @F.pandas_udf(DOUBLES)
     def udf(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for u, v in zip(a, b):
-            n = 0 if u is None or v is None else max(len(u), len(v))
-            out.append(None if u is None or v is None else np.fft.ifft(np.fft.fft(u, n) * np.fft.fft(v, n)).real if n else [])
-        return pd.Series(out)
+        return pd.Series(_by_length([a, b], work))
 
     return udf.asNondeterministic()(x, y)
 
@@ -47,14 +62,13 @@ def spectrogram(x: Column, width: int = 128, overlap: int = 120, n_fft: int = 25
     def udf(col: pd.Series) -> pd.Series:
         w = np.hamming(width)
 
-        def one(a):
-            if a is None:
-                return None
-            a = np.asarray(a, dtype=float)
-            starts = range(0, len(a) - width + 1, width - overlap)
-            return [np.abs(np.fft.rfft(a[s : s + width] * w, n_fft)) for s in starts]
+        def work(a: np.ndarray) -> list:
+            if a.shape[1] < width:
+                return [[]] * len(a)
+            frames = np.lib.stride_tricks.sliding_window_view(a, width, axis=1)[:, :: width - overlap]
+            return [list(m) for m in np.abs(np.fft.rfft(frames * w, n_fft, axis=2))]
 
-        return col.map(one)
+        return pd.Series(_by_length([col], work))
 
     return udf.asNondeterministic()(x)
 

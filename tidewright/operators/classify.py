@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import arrays as A
 from tidewright.functions import spd
+from tidewright.session import checkpointed
+
+CELLS = 4_000_000
 
 
 def nearest_neighbours(
@@ -45,22 +48,25 @@ def nearest_neighbours(
         tn, ln = y["t"].to_numpy(), y["label"].to_numpy()
         out = []
         if metric == "airm":
-            v = v.reshape(-1, d, d)
-        for i, (query, f_) in enumerate(zip(x["q"], x["qf"])):
+            u, v = u.reshape(-1, d, d), v.reshape(-1, d, d)
+            u = spd.apply_spectral(u, lambda w: np.maximum(w, spd.FLOOR) ** -0.5)
+        norms = None if metric == "airm" else (v**2).sum(1)
+        step = max(1, CELLS // (len(v) * (d * d if metric == "airm" else 1)))
+        for at in range(0, len(u), step):
+            part, names = u[at : at + step], x["q"].to_numpy()[at : at + step]
             if metric == "airm":
-                half = spd.apply_spectral(u[i].reshape(1, d, d), lambda w: np.maximum(w, spd.FLOOR) ** -0.5)[0]
-                dist = np.sqrt((np.log(np.maximum(np.linalg.eigvalsh(half @ v @ half), spd.FLOOR)) ** 2).sum(1))
+                dist = np.sqrt((np.log(np.maximum(np.linalg.eigvalsh(part[:, None] @ v[None] @ part[:, None]), spd.FLOOR)) ** 2).sum(2))
             else:
-                dist = np.sqrt(((v - u[i]) ** 2).sum(1))
-            may = tn != query
+                dist = (part**2).sum(1)[:, None] + norms[None] - 2 * part @ v.T  # squared, up to rounding
+            may = tn[None] != names[:, None]
             if fold:
-                may &= y["tf"].to_numpy() != f_
-            idx = np.flatnonzero(may)
-            if len(idx) > k:
-                edge = np.partition(dist[idx], k - 1)[k - 1]
-                idx = idx[dist[idx] <= edge]
-            best = idx[np.lexsort((tn[idx], dist[idx]))][:k]
-            out.append(pd.DataFrame({"q": [query] * len(best), "t": tn[best], "label": ln[best], "d": dist[best]}))
+                may &= y["tf"].to_numpy()[None] != x["qf"].to_numpy()[at : at + step][:, None]
+            dist = np.where(may, dist, np.inf)
+            edge = np.partition(dist, min(k, len(v)) - 1, axis=1)[:, min(k, len(v)) - 1]
+            r, c = np.nonzero(may & (dist <= (edge + 1e-9 * (1 + np.abs(edge)))[:, None]))
+            exact = dist[r, c] if metric == "airm" else np.sqrt(((v[c] - part[r]) ** 2).sum(1))
+            near = pd.DataFrame({"q": names[r], "t": tn[c], "label": ln[c], "d": exact})
+            out.append(near.sort_values(["q", "d", "t"]).groupby("q").head(k))
         return pd.concat(out) if out else empty
 
     met = a.groupBy("qb", "tb").cogroup(b.groupBy("qb2", "tb2")).applyInPandas(compare, schema)
@@ -93,7 +99,7 @@ def contiguous_folds(df: DataFrame, order: str, folds: int) -> DataFrame:
     n = df.count()
     if not 1 < folds <= n:
         raise ValueError("folds must be at least 2 and at most the number of rows")
-    ranged = df.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
+    ranged = checkpointed(df.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id()))  # its partitions are referred to twice
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     offset = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
     i = F.col("_o") + F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1

@@ -76,7 +76,7 @@ def lloyd(df: DataFrame, id_col: str, features: str, centers: Sequence[Sequence[
     loses its members moves to the row farthest from its center. Ties go to the first center.
     """
     now = [[float(v) for v in c] for c in centers]
-    rows = df.select(id_col, F.col(features).alias("_x"))
+    rows = checkpointed(df.select(id_col, F.col(features).alias("_x")))  # read once a round
 
     def assigned() -> DataFrame:
         cs = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.lit(v) for v in c]).alias("c")) for k, c in enumerate(now)])

@@ -99,13 +99,18 @@ def extract_waveforms(series: DataFrame, spikes: DataFrame, keys: Sequence[str],
     s = series.select(*keys, F.col(i).alias("_i"), F.col(value).cast("double").alias("_v"))
     home = lambda c: F.floor(c / stretch)
     sent = s.withColumn("_s", F.explode(F.array_distinct(F.array(home(F.col("_i") - margin), home(F.col("_i")), home(F.col("_i") + margin)))))
-    packed = sent.groupBy(*keys, "_s").agg(F.map_from_entries(F.collect_list(F.struct("_i", "_v"))).alias("_m"))
+    packed = sent.groupBy(*keys, "_s").agg(F.array_sort(F.collect_list(F.struct("_i", "_v"))).alias("_p"))
+    first, last = F.col("_p")[0]["_i"], F.element_at("_p", -1)["_i"]
+    values = F.transform("_p", lambda e: e["_v"])
+    spaced = F.transform(F.sequence(first, last), lambda k: F.try_element_at(F.map_from_entries("_p"), k))  # where positions are missing
+    packed = packed.select(*keys, "_s", first.alias("_from"), F.when(last - first + 1 == F.size("_p"), values).otherwise(spaced).alias("_m"))
+    value_at = lambda k: F.when(k >= F.col("_from"), F.get("_m", (k - F.col("_from")).cast("int")))
     hits = spikes.select(*keys, F.col("i").cast("bigint").alias("_c")).withColumn("_s", home(F.col("_c")))
     met = hits.join(packed, [*keys, "_s"])
     if align:
-        around = F.transform(F.sequence(F.col("_c") - align, F.col("_c") + align), lambda k: F.struct(F.abs(F.try_element_at("_m", k)).alias("a"), (-k).alias("k")))
+        around = F.transform(F.sequence(F.col("_c") - align, F.col("_c") + align), lambda k: F.struct(F.abs(value_at(k)).alias("a"), (-k).alias("k")))
         met = met.withColumn("_c", -F.array_max(F.filter(around, lambda e: e["a"].isNotNull()))["k"])
-    wf = F.transform(F.sequence(F.col("_c") - pre, F.col("_c") + post), lambda k: F.try_element_at("_m", k))
+    wf = F.transform(F.sequence(F.col("_c") - pre, F.col("_c") + post), value_at)
     return met.select(*keys, F.col("_c").alias("center"), wf.alias("wf")).where(F.forall("wf", lambda x: x.isNotNull()))
 
 

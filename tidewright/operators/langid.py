@@ -1,7 +1,8 @@
 """Sequential language identification: letter models and probability ratio tests.
 
-Texts are letter strings; models are few rows (26 or 676 per language). A test runs along one text's
-letters as a fold over its array, so a text is one row and no text is joined letter by letter.
+Texts are letter strings; models are few rows (26 or 676 per language). A test sums along one text's
+letters in blocks, vectorised, and stops with the block that decides it; a text is one row and no text is joined
+letter by letter.
 """
 
 from __future__ import annotations
@@ -9,10 +10,17 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LETTERS = 26
+BLOCK = 4096
+
+
+def _codes(letter_string: str) -> np.ndarray:
+    return np.frombuffer(letter_string.encode("ascii"), dtype=np.uint8).astype(np.int64) - 97
 
 
 def letters(text: Column | str) -> Column:
@@ -100,11 +108,24 @@ def sprt(texts: DataFrame, text_id: str, letter_string: str, ratios: DataFrame,
     handful of rows and are broadcast.
     """
     a, b = wald_thresholds(alpha, beta)
-    met = texts.select(text_id, codes(letter_string).alias("_x")).where("_x IS NOT NULL").join(F.broadcast(ratios))
-    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("bigint").alias("n"))
-    open_ = lambda st: (st["s"] < a) & (st["s"] > b)
-    step = lambda st, x: F.when(open_(st), F.struct((st["s"] + F.get("ratios", x)).alias("s"), (st["n"] + 1).alias("n"))).otherwise(st)
-    folded = met.withColumn("_r", F.aggregate("_x", start, step))
+    met = texts.select(text_id, F.col(letter_string).alias("_x")).where("_x IS NOT NULL").join(F.broadcast(ratios))
+
+    @F.pandas_udf("s double, n bigint")
+    def decide(texts_: pd.Series, tables: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, table in zip(texts_, tables):
+            s, n, table = 0.0, 0, np.asarray(table)
+            for at in range(0, len(x), BLOCK):
+                run = np.cumsum(np.concatenate([[s], table[_codes(x[at : at + BLOCK])]]))[1:]
+                hit = np.flatnonzero((run >= a) | (run <= b))
+                k = hit[0] if len(hit) else len(run) - 1
+                s, n = run[k], at + k + 1
+                if len(hit):
+                    break
+            out.append((s, n))
+        return pd.DataFrame(out, columns=["s", "n"])
+
+    folded = met.withColumn("_r", decide("_x", "ratios"))
     s = F.col("_r.s")
     return folded.select(
         text_id, "lang1", "lang0", F.when(s >= 0, F.col("lang1")).otherwise(F.col("lang0")).alias("label"), F.col("_r.n").alias("n_letters"), ((s < a) & (s > b)).alias("forced"), s.alias("llr")
@@ -113,10 +134,13 @@ def sprt(texts: DataFrame, text_id: str, letter_string: str, ratios: DataFrame,
 
 def sprt_trajectory(texts: DataFrame, text_id: str, letter_string: str, ratios: DataFrame) -> DataFrame:
     """(id, lang1, lang0, pos, llr): the running log ratio after each letter (pos from 1), without stopping."""
-    met = texts.select(text_id, codes(letter_string).alias("_x")).where("_x IS NOT NULL").join(F.broadcast(ratios))
-    grow = lambda acc, x: F.concat(acc, F.array(F.coalesce(F.element_at(acc, -1), F.lit(0.0)) + F.get("ratios", x)))
-    run = F.aggregate(F.col("_x"), F.array().cast("array<double>"), lambda acc, x: F.when(F.size(acc) == 0, F.array(F.get("ratios", x))).otherwise(grow(acc, x)))
-    return met.select(text_id, "lang1", "lang0", F.posexplode(run).alias("p", "llr")).select(text_id, "lang1", "lang0", (F.col("p") + 1).alias("pos"), "llr")
+    met = texts.select(text_id, F.col(letter_string).alias("_x")).where("_x IS NOT NULL").join(F.broadcast(ratios))
+
+    @F.pandas_udf("array<double>")
+    def running(texts_: pd.Series, tables: pd.Series) -> pd.Series:
+        return pd.Series([np.cumsum(np.asarray(table)[_codes(x)]) for x, table in zip(texts_, tables)])
+
+    return met.select(text_id, "lang1", "lang0", F.posexplode(running("_x", "ratios")).alias("p", "llr")).select(text_id, "lang1", "lang0", (F.col("p") + 1).alias("pos"), "llr")
 
 
 def pairwise_vote(decisions: DataFrame, text_id: str, order: Sequence[str]) -> DataFrame:
@@ -146,14 +170,33 @@ def bigram_sprt(texts: DataFrame, text_id: str, letter_string: str, tables: Data
     language is decided and marked as forced. Ties go to the first language.
     """
     a, _ = wald_thresholds(alpha, beta)
-    met = texts.select(text_id, codes(letter_string).alias("_x")).where("size(_x) > 0").join(F.broadcast(tables))
-    lead = lambda v: F.array_max(v) - F.element_at(F.array_sort(v), -2)
-    zero = F.struct(F.array_repeat(F.lit(0.0), F.size("langs")).alias("v"), F.lit(0).cast("bigint").alias("n"), F.lit(-1).alias("p"))
-    add = lambda st, x: F.transform(st["v"], lambda v, k: v + F.when(st["p"] < 0, F.get("first", k * 26 + x)).otherwise(F.get("step", k * 676 + st["p"] * 26 + x)))
-    step = lambda st, x: F.when((st["n"] > 0) & (lead(st["v"]) >= a), st).otherwise(F.struct(add(st, x).alias("v"), (st["n"] + 1).alias("n"), x.alias("p")))
-    folded = met.withColumn("_r", F.aggregate("_x", zero, step))
-    v = F.col("_r.v")
-    return folded.select(text_id, F.get("langs", (F.array_position(v, F.array_max(v)) - 1).cast("int")).alias("label"), F.col("_r.n").alias("n_letters"), (lead(v) < a).alias("forced"), lead(v).alias("margin"))
+    met = texts.select(text_id, F.col(letter_string).alias("_x")).where("_x <> ''").join(F.broadcast(tables))
+
+    @F.pandas_udf("best int, n bigint, lead double")
+    def decide(texts_: pd.Series, firsts: pd.Series, steps: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, first, step in zip(texts_, firsts, steps):
+            first, step = np.asarray(first).reshape(-1, 26), np.asarray(step).reshape(-1, 676)
+            v, n, lead, prev = np.zeros(len(first)), 0, None, None
+            for at in range(0, len(x), BLOCK):
+                c = _codes(x[at : at + BLOCK])
+                pairs = 26 * np.concatenate([c[:1] if prev is None else [prev], c[:-1]]) + c
+                gains = step[:, pairs]
+                if prev is None:
+                    gains[:, 0] = first[:, c[0]]
+                run, prev = np.cumsum(np.concatenate([v[:, None], gains], axis=1), axis=1)[:, 1:], c[-1]
+                top = np.sort(run, axis=0)
+                leads = top[-1] - top[-2] if len(first) > 1 else np.full(run.shape[1], np.nan)
+                hit = np.flatnonzero(leads >= a)
+                k = hit[0] if len(hit) else run.shape[1] - 1
+                v, n, lead = run[:, k], at + k + 1, leads[k]
+                if len(hit):
+                    break
+            out.append((int(v.argmax()), n, lead))
+        return pd.DataFrame(out, columns=["best", "n", "lead"])
+
+    folded = met.withColumn("_r", decide("_x", "first", "step"))
+    return folded.select(text_id, F.get("langs", F.col("_r.best")).alias("label"), F.col("_r.n").alias("n_letters"), (F.col("_r.lead") < a).alias("forced"), F.col("_r.lead").alias("margin"))
 
 
 def split_text(letter_string: Column | str, share: float = 0.8) -> tuple[Column, Column]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,22 +127,26 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 
 
 def cross_correlation(series: DataFrame, keys: Sequence[str], i: str, a: str, b: str, max_lag: int) -> DataFrame:
-    """Rows (keys, lag, r) with r = sum_i a[i + lag] b[i] for |lag| <= max_lag.
+    """Rows (keys, lag, r) with r = sum_i a[i + lag] b[i] for |lag| <= max_lag; missing positions count as 0.
 
-    A sliding array of the 2 max_lag + 1 values around each position is made by one window pass within
-    bounded stretches, instead of joining the series with itself: a's values are sent to the stretch of
-    their position and, near its ends, to the neighbouring one.
+    A series is cut into stretches: a's values are sent to the stretch of their position and, near its ends,
+    to the neighbouring one, so each stretch gives its share of every lag alone and the shares are summed.
     """
     width = max(4 * max_lag, 256)
     s = series.select(*keys, F.col(i).alias("_i"), F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
     home = F.floor(F.col("_i") / width)
     sent = s.withColumn("_s", F.explode(F.array_distinct(F.array(home, F.floor((F.col("_i") - max_lag) / width), F.floor((F.col("_i") + max_lag) / width)))))
-    packed = sent.groupBy(*keys, "_s").agg(
-        F.map_from_entries(F.collect_list(F.struct("_i", "_a"))).alias("_as"), F.collect_list(F.when(home == F.col("_s"), F.struct("_i", "_b"))).alias("_bs")
-    )
-    lags = F.sequence(F.lit(-max_lag).cast("bigint"), F.lit(max_lag).cast("bigint"))
-    per = packed.select(
-        *keys,
-        F.explode(F.transform(lags, lambda g: F.struct(g.alias("lag"), F.aggregate("_bs", F.lit(0.0), lambda t, e: t + F.coalesce(F.try_element_at("_as", e["_i"] + g), F.lit(0.0)) * e["_b"]).alias("r")))).alias("_e"),
-    )
-    return per.groupBy(*keys, F.col("_e.lag").alias("lag")).agg(F.sum("_e.r").alias("r"))
+    packed = sent.groupBy(*keys, "_s").agg(F.collect_list(F.struct((F.col("_i") - F.col("_s") * width + max_lag).cast("int").alias("k"), F.coalesce("_a", F.lit(0.0)).alias("a"), F.coalesce("_b", F.lit(0.0)).alias("b"))).alias("_p"))
+
+    @F.pandas_udf("array<double>")
+    def shares(at: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(k, u, v):
+            left, right = np.zeros(width + 2 * max_lag), np.zeros(width + 2 * max_lag)
+            left[k], right[k] = u, v  # place 0 is max_lag before the stretch
+            return np.correlate(left, right[max_lag : max_lag + width], "valid")
+
+        return pd.Series([one(k, u, v) for k, u, v in zip(at, x, y)])
+
+    field = lambda f: F.transform("_p", lambda e: e[f])
+    per = packed.select(*keys, F.posexplode(shares(field("k"), field("a"), field("b"))).alias("_l", "_r"))
+    return per.groupBy(*keys, (F.col("_l") - max_lag).cast("bigint").alias("lag")).agg(F.sum("_r").alias("r"))

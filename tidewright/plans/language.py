@@ -76,7 +76,7 @@ def sprt_error_table(spark, sf):
 
 def bigram_error_table(spark, sf):
     d = _bigram_decisions(spark, sf).join(texts(spark, sf).select("doc_id", F.col("lang").alias("truth")), "doc_id")
-    return L.trial_stats(d, "truth")
+    return L.trial_stats(d, "truth").select("truth", "trials", "errors", r6("error_rate"), r6("mean_letters"), r6("median_letters"))
 
 
 def sample_windows(spark, sf):
@@ -138,6 +138,7 @@ ORACLES = {
     "sprt_pairwise": f"WITH {TEXT_SQL}, {VOTE_SQL} SELECT doc_id, label, wins, n_letters FROM vt",
     "sprt_error_table": f"WITH {TEXT_SQL}, {VOTE_SQL} SELECT lang AS truth, count(*) AS trials, count(*) FILTER (label <> lang) AS errors, round(avg(CASE WHEN label <> lang THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS error_rate, round(avg(n_letters), 6) + 0.0 AS mean_letters, round(median(n_letters), 6) + 0.0 AS median_letters FROM vt JOIN tx USING (doc_id) GROUP BY 1",
     "sprt_bigram": f"WITH {TEXT_SQL}, {BIGRAM_SQL} SELECT doc_id, label, pos AS n_letters, margin < {A_} AS forced, round(margin, 6) + 0.0 AS margin FROM mg JOIN bc USING (doc_id, pos)",
+    "bigram_error_table": f"WITH {TEXT_SQL}, {BIGRAM_SQL}, de AS (SELECT doc_id, label, pos AS n_letters FROM mg JOIN bc USING (doc_id, pos)) SELECT lang AS truth, count(*) AS trials, count(*) FILTER (label <> lang) AS errors, round(avg(CASE WHEN label <> lang THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS error_rate, round(avg(n_letters), 6) + 0.0 AS mean_letters, round(median(n_letters), 6) + 0.0 AS median_letters FROM de JOIN tx USING (doc_id) GROUP BY 1",
     "sample_windows": """WITH d AS (SELECT doc_id, text, b AS draw, 20 + cast(('0x' || substr(md5(concat_ws('|', doc_id, b, 'length', 3)), 1, 8)) AS bigint) % 181 AS len,
  cast(('0x' || substr(md5(concat_ws('|', doc_id, b, 'start', 3)), 1, 8)) AS bigint) AS u FROM documents, (SELECT unnest([1, 2]) AS b) WHERE length(text) > 0),
 p AS (SELECT doc_id, draw, cast(u % greatest(length(text) - len + 1, 1) AS int) AS start, text, len FROM d),

@@ -106,7 +106,7 @@ def spearman(spark, sf):
 
 
 def xcorr_lag(spark, sf):
-    return series.cross_correlation(user_series(spark, sf), ["user_id"], "i", "v", "r4", 10).select("user_id", "lag", F.round("r", 4).alias("r"))
+    return series.cross_correlation(user_series(spark, sf), ["user_id"], "i", "v", "r4", 500).select("user_id", "lag", F.round("r", 4).alias("r"))
 
 
 QUERIES = {f.__name__: f for f in (rate_distributions, roc_curve, auc, auc_mannwhitney, decoding_auc, zscore, snr, trial_average, moving_avg5, smooth_twice, pearson, spearman, xcorr_lag)}
@@ -136,6 +136,6 @@ SELECT a.neuron, round(avg(CASE WHEN b.k > a.k THEN 1.0 WHEN b.k = a.k THEN 0.5
     "smooth_twice": f"WITH {SMOOTH_SQL} {PLACED} FROM s2",
     "pearson": "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) + 0.0 AS r FROM lineitem GROUP BY 1",
     "spearman": "WITH r AS (SELECT l_returnflag, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2 AS a, rank() OVER (PARTITION BY l_returnflag ORDER BY l_discount) + (count(*) OVER (PARTITION BY l_returnflag, l_discount) - 1) / 2 AS b FROM lineitem WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL) SELECT l_returnflag, round(corr(a, b), 6) + 0.0 AS spearman FROM r GROUP BY 1",
-    "xcorr_lag": f"WITH {SERIES_SQL}, lags AS (SELECT unnest(range(-10, 11)) AS lag), u AS (SELECT DISTINCT user_id FROM ser), m AS (SELECT b.user_id, a.i - b.i AS lag, sum(a.v * b.r4) AS r FROM ser a JOIN ser b ON a.user_id = b.user_id AND a.i BETWEEN b.i - 10 AND b.i + 10 GROUP BY ALL) SELECT u.user_id, lags.lag, round(coalesce(r, 0.0), 4) AS r FROM u CROSS JOIN lags LEFT JOIN m ON m.user_id = u.user_id AND m.lag = lags.lag",
+    "xcorr_lag": f"WITH {SERIES_SQL}, lags AS (SELECT unnest(range(-500, 501)) AS lag), u AS (SELECT DISTINCT user_id FROM ser), m AS (SELECT b.user_id, a.i - b.i AS lag, sum(a.v * b.r4) AS r FROM ser a JOIN ser b ON a.user_id = b.user_id AND a.i BETWEEN b.i - 500 AND b.i + 500 GROUP BY ALL) SELECT u.user_id, lags.lag, round(coalesce(r, 0.0), 4) AS r FROM u CROSS JOIN lags LEFT JOIN m ON m.user_id = u.user_id AND m.lag = lags.lag",
 }
 ORACLES |= {"moving_avg5_whole": ORACLES["moving_avg5"], "smooth_twice_whole": ORACLES["smooth_twice"]}

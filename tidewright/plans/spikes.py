@@ -65,7 +65,7 @@ def extract_aligned(spark, sf):
     s = user_series(spark, sf)
     spikes = E.jittered(E.suprathreshold_candidates(s, ["user_id"], "i", "v", 100.0), "i", ["user_id", "i"], 2, 3)
     w = E.extract_waveforms(s, spikes, ["user_id"], "i", "v", 3, 5, align=2)
-    return w.select("user_id", "center", F.posexplode("wf").alias("p", "v"))
+    return w.select("user_id", "center", F.posexplode("wf").alias("p", "v")).select("user_id", "center", "p", r6("v"))
 
 
 def mean_waveform(spark, sf):
@@ -139,6 +139,10 @@ ORACLES = {
     "islands_candidates": f"WITH {ISLANDS_SQL} SELECT user_id, i, round(m, 6) + 0.0 AS magnitude FROM cand",
     "zero_cross": f"WITH {SERIES_SQL}, w AS (SELECT user_id, i, v - 50 AS v, lag(v - 50) OVER (PARTITION BY user_id ORDER BY i) AS p FROM ser) SELECT user_id, i FROM w WHERE p * v < 0 AND v < 0",
     "extract_waveforms": f"WITH {ISLANDS_SQL}, j AS (SELECT c.user_id, c.i AS center, cast(s.i - c.i + 3 AS int) AS p, s.v, count(*) OVER (PARTITION BY c.user_id, c.i) AS n FROM cand c JOIN ser s ON s.user_id = c.user_id AND s.i BETWEEN c.i - 3 AND c.i + 5) SELECT user_id, center, p, round(v, 6) + 0.0 AS v FROM j WHERE n = 9",
+    "extract_aligned": f"""WITH {ISLANDS_SQL}, jt AS (SELECT user_id, i AS id, i + cast(('0x' || substr(md5(concat_ws('|', user_id, i, 3)), 1, 8)) AS bigint) % 5 - 2 AS i FROM cand),
+al AS (SELECT j.user_id, j.id, s.i AS center, row_number() OVER (PARTITION BY j.user_id, j.id ORDER BY abs(s.v) DESC, s.i) AS r FROM jt j JOIN ser s ON s.user_id = j.user_id AND s.i BETWEEN j.i - 2 AND j.i + 2),
+w AS (SELECT a.user_id, a.id, a.center, cast(s.i - a.center + 3 AS int) AS p, s.v, count(*) OVER (PARTITION BY a.user_id, a.id) AS n FROM al a JOIN ser s ON s.user_id = a.user_id AND s.i BETWEEN a.center - 3 AND a.center + 5 WHERE a.r = 1)
+SELECT user_id, center, p, round(v, 6) + 0.0 AS v FROM w WHERE n = 9""",
     "mean_waveform": "WITH w AS (SELECT DISTINCT spike_id, rec, waveforms FROM spike_waveforms WHERE len(waveforms) = 91 AND list_count(waveforms) = 91 AND NOT list_contains(waveforms, 'nan'::double) AND spike_id IS NOT NULL) SELECT rec, cast(p AS int) AS pos, avg(waveforms[p + 1]) AS mean FROM w, (SELECT unnest(range(91)) AS p) GROUP BY ALL",
     "isi_hist": f"WITH {ISI_SQL}, top AS (SELECT rec, greatest(1, ceil(max(isi) / 100000.0)) AS n FROM isi WHERE isi IS NOT NULL GROUP BY 1), b AS (SELECT rec, cast(least(isi // 100000, n - 1) AS bigint) AS bin, count(*) AS n FROM isi JOIN top USING (rec) WHERE isi IS NOT NULL GROUP BY ALL), sp AS (SELECT rec, unnest(range(cast(n AS bigint))) AS bin FROM top) SELECT rec, bin, coalesce(b.n, 0) AS n FROM sp LEFT JOIN b USING (rec, bin)",
     "refractory_violations": f"WITH {ISI_SQL} SELECT rec, t, isi FROM isi WHERE isi < 1000",
