@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -118,6 +118,15 @@ def accuracy(predicted: DataFrame, truth: DataFrame, qid: str = "qid", tid: str
     return g.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("predicted") == F.col("_true")).cast("double")).alias("accuracy"))
 
 
+def held_out_accuracy(v: DataFrame, folds: int, judge: Callable[[DataFrame, DataFrame], DataFrame], label: str = "label", keys: Sequence[str] = ()) -> DataFrame:
+    """(fold, keys, n, accuracy): ``judge(train, test)`` adds ``predicted`` to the rows of each fold, having seen the other folds only."""
+    out = None
+    for k in range(folds):
+        one = judge(v.where(F.col("fold") != k), v.where(F.col("fold") == k)).select("fold", *keys, (F.col("predicted") == F.col(label)).cast("double").alias("_hit"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("fold", *keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_hit").alias("accuracy"))
+
+
 def perceptron_fit(rows: DataFrame, id_col: str, features: Sequence[str], target: str, group: str, rate: float = 0.2, max_turns: int = 100, weights: Sequence[float] | None = None, bias: float = 0.9) -> DataFrame:
     """(group, w, b, turns, errors): the online perceptron over each group's rows in id order.
 

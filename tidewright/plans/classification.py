@@ -118,13 +118,25 @@ def lda(spark, sf):
     return C.discriminant_predict(t, model, "x", "label").groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("predicted") == F.col("label")).cast("double")).alias("accuracy"))
 
 
+def lda_cv5(spark, sf):
+    """Share of held-out trials whose stimulus a linear discriminant names, per fold and regime: fitted on the other four folds."""
+    v = checkpointed(C.contiguous_folds(_trials(spark, sf), "id", 5))
+    return C.held_out_accuracy(v, 5, lambda train, test: C.discriminant_predict(test, C.linear_discriminant(train, "x", "label", 22), "x", "label"), keys=["regime"])
+
+
+def nearest_mean_cv5(spark, sf):
+    """Accuracy of the nearest mean rate vector, each of 5 folds judged by means of the others."""
+    v = checkpointed(C.contiguous_folds(_trials(spark, sf), "id", 5))
+    return C.held_out_accuracy(v, 5, lambda train, test: C.nearest_class(test, C.class_means(train, "x", "label"), "x", "label")).select("fold", "n", r6("accuracy"))
+
+
 def nearest_mean(spark, sf):
     """Trials named by the nearest mean rate vector."""
     t = _trials(spark, sf)
     return C.nearest_class(t, C.class_means(t, "x", "label"), "x", "label").select("id", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (knn_predict, knn_summed, knn_cv7, knn_ksweep, best_k, nearest_pairs, perceptron_fit, perceptron_predict, decision_line, lda, nearest_mean)}
+QUERIES = {f.__name__: f for f in (knn_predict, knn_summed, knn_cv7, knn_ksweep, best_k, nearest_pairs, perceptron_fit, perceptron_predict, decision_line, lda, lda_cv5, nearest_mean, nearest_mean_cv5)}
 VEC_SQL = "vec AS (SELECT vec_id AS id, embedding::double[] AS x, label FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL)"
 
 
@@ -152,3 +164,6 @@ ORACLES = {
     "nearest_pairs": f"WITH {VEC_SQL}, c AS (SELECT q.label, q.id, t.id AS other, round(list_distance(q.x, t.x), 9) AS d FROM vec q JOIN vec t ON q.label <> t.label) SELECT label, id, other, round(d, 6) + 0.0 AS d FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, id, other) AS r FROM c) WHERE r = 1",
     "nearest_mean": f"WITH {TRIAL_SQL}, e AS (SELECT label, i, avg(x[i]) AS m FROM tr, (SELECT unnest(range(1, 23)) AS i) GROUP BY ALL), mn AS (SELECT label, list(m ORDER BY i) AS m FROM e GROUP BY 1) SELECT id, predicted FROM (SELECT tr.id, mn.label AS predicted, row_number() OVER (PARTITION BY tr.id ORDER BY round(list_distance(tr.x, mn.m), 12), mn.label) AS r FROM tr, mn) WHERE r = 1",
 }
+ORACLES["nearest_mean_cv5"] = f"""WITH {TRIAL_SQL}, fd AS (SELECT *, ntile(5) OVER (ORDER BY id) - 1 AS fold FROM tr), e AS (SELECT f, label, i, avg(x[i]) AS m FROM fd, (SELECT unnest(range(5)) AS f), (SELECT unnest(range(1, 23)) AS i) WHERE fold <> f GROUP BY ALL),
+mn AS (SELECT f, label, list(m ORDER BY i) AS m FROM e GROUP BY ALL), p AS (SELECT fd.fold, fd.label, mn.label AS predicted, row_number() OVER (PARTITION BY fd.id ORDER BY round(list_distance(x, m), 12), mn.label) AS r FROM fd JOIN mn ON f = fold)
+SELECT cast(fold AS int) AS fold, count(*) AS n, round(avg(CASE WHEN predicted = label THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS accuracy FROM p WHERE r = 1 GROUP BY 1"""
