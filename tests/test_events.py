@@ -108,3 +108,34 @@ def test_zero_crossings_and_jitter(spark):
     assert sorted(r["i"] for r in E.zero_crossings(s, ["rec"], "i", "v", 0.1).collect()) == [1, 5]
     j = E.jittered(spark.range(100).select(F.col("id"), (F.col("id") * 0 + 50).alias("i")), "i", ["id"], 3, 1)
     assert j.agg(F.min("i"), F.max("i")).first() == (47, 53)
+
+
+def test_banded_matching_against_all_pairs():
+    rng = np.random.default_rng(12)
+
+    def brute(a, b, tolerance):
+        best = [[(0, 0)] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                d = abs(a[i] - b[j])
+                best[i][j] = max(best[i + 1][j], best[i][j + 1], (best[i + 1][j + 1][0] + 1, best[i + 1][j + 1][1] - d) if d <= tolerance else (0, 0))
+        return best[0][0]
+
+    for _ in range(200):
+        a, b = (sorted(rng.integers(0, 60, rng.integers(0, 14)).tolist()) for _ in range(2))
+        got = E._best_matching([{"t": t, "id": k} for k, t in enumerate(a)], [{"t": t, "id": k} for k, t in enumerate(b)], 5)
+        assert (len(got), -sum(abs(m["dt"]) for m in got)) == brute(a, b, 5)
+        assert len({m["a"] for m in got}) == len({m["z"] for m in got}) == len(got)
+        assert all(abs(m["dt"]) <= 5 and b[m["z"]] - a[m["a"]] == m["dt"] for m in got)
+
+
+def test_refractory_of_a_dense_chain(spark):
+    rng = np.random.default_rng(13)
+    at = np.unique(rng.integers(0, 3000, 1200))
+    size = rng.integers(1, 40, len(at))
+    kept = []
+    for k in np.lexsort((-at, -size)):
+        if all(abs(at[k] - j) > 4 for j in kept):
+            kept.append(at[k])
+    rows = spark.createDataFrame([("a", int(i), float(m)) for i, m in zip(at, size)], "k string, i bigint, m double")
+    assert sorted(r["i"] for r in E.enforce_refractory(rows, ["k"], "i", "m", 4).collect()) == sorted(kept)

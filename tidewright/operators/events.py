@@ -5,12 +5,13 @@ from __future__ import annotations
 import bisect
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewright.operators.series import chains, previous
+from tidewright.operators.series import chains, previous, with_range
 from tidewright.session import checkpointed
 
 
@@ -52,7 +53,7 @@ def enforce_refractory(candidates: DataFrame, keys: Sequence[str], i: str, magni
     """The candidates that stay when, by falling magnitude, each blocks all within ``min_gap`` of it (inclusive).
 
     Of equal magnitudes the later position goes first. Candidates further apart than the gap can't block one
-    another, so chains between larger gaps are settled alone, each as one small array.
+    another, so chains between larger gaps are settled alone, each as one array: a chain goes on while pauses stay below the gap, and costs n log n and its neighbours within the gap.
     """
     few = checkpointed(candidates.select(*keys, i, magnitude))  # read several times below; far fewer rows than the signal
     chained = chains(few, keys, i, min_gap, max(100_000, 8 * min_gap), "_chain")
@@ -62,11 +63,15 @@ def enforce_refractory(candidates: DataFrame, keys: Sequence[str], i: str, magni
     @F.pandas_udf(packed.schema["_p"].dataType)
     def settle(chains: pd.Series) -> pd.Series:
         def one(chain):
-            kept: list = []
-            for c in sorted(chain, key=lambda c: (-c["m"], -c["i"])):
-                k = bisect.bisect([e["i"] for e in kept], c["i"])
-                if (k == 0 or c["i"] - kept[k - 1]["i"] > min_gap) and (k == len(kept) or kept[k]["i"] - c["i"] > min_gap):
-                    kept.insert(k, c)
+            at, size = np.array([c["i"] for c in chain]), np.array([c["m"] for c in chain])
+            by_place = np.argsort(at, kind="stable")
+            at, size = at[by_place], size[by_place]
+            lo, hi = np.searchsorted(at, at - min_gap, "left"), np.searchsorted(at, at + min_gap, "right")
+            blocked, kept = np.zeros(len(at), bool), []
+            for k in np.lexsort((-at, -size)):
+                if not blocked[k]:
+                    blocked[lo[k] : hi[k]] = True
+                    kept.append({"m": size[k].item(), "i": at[k].item()})
             return kept
 
         return chains.map(one)
@@ -138,7 +143,7 @@ def isi_histogram(isis: DataFrame, keys: Sequence[str], width: int) -> DataFrame
     bins = F.greatest(F.lit(1), F.ceil(F.max("isi") / width)).cast("bigint")
     top = isis.groupBy(*keys).agg(bins.alias("_n"))
     binned = isis.join(top, list(keys)).groupBy(*keys, F.least(F.floor(F.col("isi") / width), F.col("_n") - 1).cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    spine = top.select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("bin"))
+    spine = with_range(top.withColumnRenamed("_n", "_top"), F.col("_top"), "bin").select(*keys, "bin")
     return spine.join(binned, [*keys, "bin"], "left").select(*keys, "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -210,23 +215,36 @@ def match_detections(detected: DataFrame, truth: DataFrame, keys: Sequence[str],
 
 
 def _best_matching(a: list, b: list, tolerance: int) -> list[dict]:
-    """Most pairs within the tolerance, then the least total distance, of two lists in order of time."""
+    """Most pairs within the tolerance, then the least total distance, of two lists in order of time.
+
+    Only pairs within the tolerance are tabled: before them nothing of ``b`` can be matched any more, behind
+    them nothing yet, so the table is as wide as the tolerance, not as the chain.
+    """
     n, m = len(a), len(b)
-    best = [[(0, 0)] * (m + 1) for _ in range(n + 1)]
+    at, bt = [e["t"] for e in a], [e["t"] for e in b]
+    lo, hi = [bisect.bisect_left(bt, t - tolerance) for t in at], [bisect.bisect_right(bt, t + tolerance) for t in at]
+    best: list[list[tuple[int, int]]] = [[]] * n
+
+    def value(i: int, j: int) -> tuple[int, int]:
+        while i < n and j > hi[i]:
+            i += 1
+        return (0, 0) if i == n else best[i][max(j, lo[i]) - lo[i]]
+
     for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            v = max(best[i + 1][j], best[i][j + 1])
-            d = abs(a[i]["t"] - b[j]["t"])
-            if d <= tolerance:
-                v = max(v, (best[i + 1][j + 1][0] + 1, best[i + 1][j + 1][1] - d))
-            best[i][j] = v
+        row = [(0, 0)] * (hi[i] - lo[i] + 1)
+        row[-1] = value(i + 1, hi[i])
+        for j in range(hi[i] - 1, lo[i] - 1, -1):
+            k, d = value(i + 1, j + 1)
+            row[j - lo[i]] = max(value(i + 1, j), row[j + 1 - lo[i]], (k + 1, d - abs(at[i] - bt[j])))
+        best[i] = row
     out, i, j = [], 0, 0
     while i < n and j < m:
-        d = abs(a[i]["t"] - b[j]["t"])
-        if d <= tolerance and best[i][j] == (best[i + 1][j + 1][0] + 1, best[i + 1][j + 1][1] - d):
-            out.append({"a": a[i]["id"], "z": b[j]["id"], "dt": b[j]["t"] - a[i]["t"]})
+        d = abs(at[i] - bt[j])
+        v = value(i, j)
+        if d <= tolerance and v == (value(i + 1, j + 1)[0] + 1, value(i + 1, j + 1)[1] - d):
+            out.append({"a": a[i]["id"], "z": b[j]["id"], "dt": bt[j] - at[i]})
             i, j = i + 1, j + 1
-        elif best[i][j] == best[i + 1][j]:
+        elif v == value(i + 1, j):
             i += 1
         else:
             j += 1

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.operators.series import indexed
+from tidewright.session import checkpointed
 
 METHODS = ("plugin", "miller_madow", "shuffle")
 
@@ -73,16 +74,15 @@ def shuffled_labels(trials: DataFrame, trial_id: str, stimulus: str, b: int, see
 
     Permutation k gives the trial at position r of id order the stimulus of the trial at position r in
     the order of md5(id|k|seed): reproducible on any engine, without a random stream. Positions are counted
-    over ranges of ids and prefixes of the hash, so no task sorts all trials. Ids must be whole numbers.
+    over sampled ranges of ids and prefixes of the hash, so no task sorts all trials however ids are spread.
     """
     if b <= 0:
         raise ValueError("b must be positive")
-    ends = trials.agg(F.min(trial_id).alias("a"), F.max(trial_id).alias("z")).first()
-    width = max(1, ((ends["z"] or 0) - (ends["a"] or 0)) // 256 + 1)
-    placed = indexed(trials.select(trial_id, stimulus), [], trial_id, [], F.floor(F.col(trial_id) / width), "pos")
+    ranged = checkpointed(trials.select(trial_id, stimulus).repartitionByRange(F.col(trial_id)).withColumn("_p", F.spark_partition_id()))
+    placed = indexed(ranged, [], trial_id, [], F.col("_p"), "pos").drop("_p")
     draws = F.explode(F.sequence(F.lit(1), F.lit(b))).alias("b")
     hashed = placed.select(trial_id, stimulus, draws).withColumn("_h", F.md5(F.concat_ws("|", F.col(trial_id), F.col("b"), F.lit(seed))))
-    shuffled = indexed(hashed, ["b"], "_h", [trial_id], F.substring("_h", 1, 2), "pos").select("b", "pos", stimulus)
+    shuffled = indexed(hashed, ["b"], "_h", [trial_id], F.substring("_h", 1, 3), "pos").select("b", "pos", stimulus)
     return placed.select(trial_id, "pos", draws).join(shuffled, ["b", "pos"]).select("b", trial_id, stimulus)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.operators.series import previous, running_before, with_range
+
 
 def rate_distributions(df: DataFrame, condition: str, rate: str) -> DataFrame:
     """Rows (condition, k, p): share of each integer rate 0..max over all conditions, zeros included.
@@ -16,7 +18,7 @@ def rate_distributions(df: DataFrame, condition: str, rate: str) -> DataFrame:
     counts = df.where(F.col(condition).isNotNull() & F.col(rate).isNotNull()).groupBy(F.col(condition).alias("condition"), k.alias("k")).agg(F.count(F.lit(1)).alias("n"))
     sums = counts.groupBy("condition").agg(F.sum("n").alias("total"))
     top = counts.agg(F.max("k").alias("top"))
-    spine = sums.join(F.broadcast(top)).select("condition", "total", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top"))).alias("k"))
+    spine = with_range(sums.join(F.broadcast(top)), F.col("top") + 1, "k").select("condition", "total", "k")  # top is one row
     return spine.join(counts, ["condition", "k"], "left").select("condition", "k", (F.coalesce("n", F.lit(0)) / F.col("total")).alias("p"))
 
 
@@ -34,19 +36,18 @@ def roc_curve(distributions: DataFrame, negative: str, positive: str) -> DataFra
 
 def area_under_curve(curve: DataFrame) -> DataFrame:
     """One row (auc): absolute trapezoid area under the curve of one row per bin."""
-    w = Window.orderBy(F.desc("k"))
-    step = (F.col("fpr") - F.lag("fpr").over(w)) * (F.col("tpr") + F.lag("tpr").over(w)) / 2
-    return curve.select(step.alias("a")).agg(F.abs(F.sum("a")).alias("auc"))
+    pairs = previous(curve.withColumn("_xy", F.struct("fpr", "tpr")), [], "k", "_xy", 4096, "last").where("last IS NOT NULL")
+    step = (F.col("fpr") - F.col("last.v.fpr")) * (F.col("tpr") + F.col("last.v.tpr")) / 2
+    return pairs.select(step.alias("a")).agg(F.abs(F.sum("a")).alias("auc"))
 
 
 def auc_by_ranks(df: DataFrame, condition: str, rate: str, negative: str, positive: str) -> DataFrame:
     """One row (auc): probability that a positive rate exceeds a negative one, ties counting half (Mann-Whitney).
 
-    Counted per distinct rate, so the work after one aggregation grows with the number of rates only.
+    Counted per distinct rate; the rates below each are counted by ranges, so scores may all differ.
     """
     counts = df.where(F.col(rate).isNotNull()).groupBy(F.col(rate).alias("k")).agg(
         F.count_if(F.col(condition) == negative).alias("n0"), F.count_if(F.col(condition) == positive).alias("n1")
     )
-    below = F.coalesce(F.sum("n0").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = counts.select((F.col("n1") * (below + F.col("n0") / 2)).alias("w"), "n0", "n1")
+    wins = running_before(counts, "k", "n0", "below").select((F.col("n1") * (F.col("below") + F.col("n0") / 2)).alias("w"), "n0", "n1")
     return wins.agg(F.try_divide(F.sum("w"), F.sum("n0") * F.sum("n1")).alias("auc"))

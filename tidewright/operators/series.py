@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.functions import arrays as A
+from tidewright.session import checkpointed
 
 
 def micros(ts: Column | str) -> Column:
@@ -33,6 +34,24 @@ def indexed(df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str],
     return joined.withColumn(name, (F.col("_o") + F.col("_r")).cast("bigint")).drop("_b", "_o", "_r")
 
 
+def running_before(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over all rows of smaller ``order``, which must be unique.
+
+    Rows are cut into ranges of the order; each range starts at the sum of the earlier ones, so no task orders all rows.
+    """
+    ranged = checkpointed(df.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id()))  # its partitions are referred to twice
+    sums = ranged.groupBy("_p").agg(F.sum(value).alias("_n"))  # one row per partition
+    offsets = sums.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))
+    inside = F.coalesce(F.sum(value).over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("_in", inside).join(F.broadcast(offsets), "_p").withColumn(name, F.col("_o") + F.col("_in")).drop("_p", "_o", "_in")
+
+
+def with_range(df: DataFrame, n: Column, name: str, step: int = 4096) -> DataFrame:
+    """``df`` repeated for ``name`` = 0 .. n - 1 (n > 0), in arrays of at most ``step`` numbers however large n is."""
+    blocks = df.withColumn("_n", n.cast("bigint")).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / step))))
+    return blocks.withColumn(name, F.explode(F.sequence(F.col("_k") * step, F.least(F.col("_k") * step + step, F.col("_n")) - 1))).drop("_n", "_k")
+
+
 def previous(df: DataFrame, keys: Sequence[str], order: str, value: str, bucket_width: int, name: str) -> DataFrame:
     """``df`` with ``name``: struct (o, v) of the order and value of the row before, in the order of its series; null for the first.
 
