@@ -152,12 +152,45 @@ xt AS (SELECT DISTINCT window_id AS id, flatten(x_train) AS v FROM geoknn_window
        AND len(list_filter(x_train, lambda r: len(r) = 8 AND list_count(r) = 8)) = 64 AND NOT list_contains(flatten(x_train), 'nan'::double)
        AND list_sum(list_transform(flatten(x_train), lambda x: abs(x))) > 0)
 SELECT DISTINCT field, id_lo, id_hi FROM ({_neighbour_sql('rates', 'rt', 0.5)} UNION ALL {_neighbour_sql('x_train', 'xt', 12)})"""
+# Words as in the operator: entities, marks of quotes and markup removed, tags inside a word without a gap.
+# A passage is followed from each run of equal words (same diagonal) through two edits, as far as the next run reaches.
+_INLINE = "|".join(sorted(leakage.INLINE))
+_ENTITIES = (("&gt;", ">"), ("&lt;", "<"), ("&nbsp;", " "), ("&#039;", "''"), ("&#39;", "''"), ("&quot;", '"'), ("&amp;", "&"))
+
+
+def _words_sql(text: str) -> str:
+    for name, sign in _ENTITIES:
+        text = f"replace({text}, '{name}', '{sign}')"
+    plain = f"regexp_replace({text}, '(?i)</?({_INLINE})([ =][^<>]*)?>|\\[/?({_INLINE})(=[^\\]]*)?\\]', '', 'g')"
+    plain = f"regexp_replace({plain}, '</?[a-zA-Z][^<>]*>|\\[/?[a-zA-Z*]+(=[^\\]]*)?\\]', ' ', 'g')"
+    return f"regexp_extract_all(lower({plain}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _edit_sql(n: int) -> str:
+    """CTE e{n}: the states (document, item, diagonal, start, reach) after n edits, extended along the run that covers them."""
+    return f"""e{n} AS (SELECT DISTINCT s.doc_id, s.item_id, s.i0, s.d2 AS d, coalesce(r.z, s.i2) AS i, r.z IS NOT NULL AS more
+ FROM (SELECT doc_id, item_id, i0, d + m.dd AS d2, i + m.di AS i2 FROM e{n - 1}, (VALUES (0, 1), (1, 0), (-1, 1)) m(dd, di)) s
+ LEFT JOIN run r ON r.doc_id = s.doc_id AND r.item_id = s.item_id AND r.d = s.d2 AND s.i2 >= r.a AND s.i2 < r.z)"""
+
+
+P7_SQL = f"""
+WITH dw AS (SELECT doc_id, w, generate_subscripts(w, 1) AS j, unnest(w) AS x FROM (SELECT doc_id, {_words_sql('text')} AS w FROM documents WHERE text IS NOT NULL)),
+iw AS (SELECT item_id, len(w) AS n, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM (SELECT item_id, {_words_sql('item_text')} AS w FROM eval_items WHERE item_text IS NOT NULL)),
+hit AS (SELECT doc_id, item_id, i, j - i AS d, i - row_number() OVER (PARTITION BY doc_id, item_id, j - i ORDER BY i) AS g FROM dw JOIN iw USING (x)),
+run AS (SELECT doc_id, item_id, d, min(i) AS a, max(i) + 1 AS z FROM hit GROUP BY doc_id, item_id, d, g),
+-- a passage of half the words with two edits holds a run of at least a third of the rest
+few AS (SELECT DISTINCT r.doc_id, r.item_id FROM run r JOIN (SELECT item_id, max(n) AS n FROM iw GROUP BY 1) s USING (item_id) WHERE z - a >= (ceil(n * 0.5) - 2) / 3),
+e0 AS (SELECT doc_id, item_id, a AS i0, d, z AS i, true AS more FROM run SEMI JOIN few USING (doc_id, item_id)), {_edit_sql(1)}, {_edit_sql(2)},
+best AS (SELECT doc_id, item_id, max(i - i0) AS words FROM (SELECT * FROM e0 UNION ALL SELECT * FROM e1 WHERE more UNION ALL SELECT * FROM e2 WHERE more) GROUP BY ALL)
+SELECT doc_id, item_id, cast(words AS int) AS words, cast(n AS int) AS item_words FROM best JOIN (SELECT item_id, max(n) AS n FROM iw GROUP BY 1) s USING (item_id) WHERE words >= ceil(n * 0.5)"""
 # the answer doesn't depend on the tokenizer, so characters stand for tokens
 P8_SQL = """
 SELECT m.source FROM mix_targets m LEFT JOIN (SELECT source, sum(length(text)) AS n FROM documents GROUP BY 1) d ON d.source = m.source
 WHERE coalesce(n, 0) * max_repeats < target_share * (SELECT sum(length(text)) FROM documents)"""
 ORACLES = {
     "p3_found": P3_SQL,
+    "p7_leaks": P7_SQL,
+    "p7_found": f"SELECT doc_id, item_id FROM ({P7_SQL})",
     "p8_found": P8_SQL,
     "p6_found": f"{P6_SQL} SELECT det_id, stim_id FROM m WHERE r = 1",
     "p6_all_detections": f"{P6_SQL}, i AS (SELECT DISTINCT det_id FROM det_mad WHERE det_id IS NOT NULL) SELECT i.det_id, stim_id, diff AS diff_us FROM i LEFT JOIN (SELECT * FROM m WHERE r = 1) b ON i.det_id = b.det_id",
