@@ -73,16 +73,21 @@ def sentences(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def features(sentence: str, buckets: int) -> np.ndarray:
-    """Hashed ids of the words of a sentence and of their character 2- to 4-grams."""
-    ids = []
-    for w in TOKEN.findall(sentence.lower()):
-        b = f"<{w}>"
-        ids.append(zlib.crc32(b.encode()) % buckets)
-        ids += [zlib.crc32(b[k : k + n].encode()) % buckets for n in (2, 3, 4) for k in range(len(b) - n + 1)]
+@lru_cache(200_000)
+def word_features(word: str, buckets: int) -> np.ndarray:
+    """Hashed ids of a word and of its character 2- to 4-grams."""
+    b = f"<{word}>"
+    ids = [zlib.crc32(b.encode()) % buckets]
+    ids += [zlib.crc32(b[k : k + n].encode()) % buckets for n in (2, 3, 4) for k in range(len(b) - n + 1)]
     return np.asarray(ids, dtype=np.int64)
 
 
+def features(sentence: str, buckets: int) -> np.ndarray:
+    """The ids of all words of a sentence."""
+    found = [word_features(w, buckets) for w in TOKEN.findall(sentence.lower())]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
+
+
 @dataclass
 class SubwordModel:
     """Averaged embeddings and a linear softmax; ``temperature``, ``floor`` and ``noise`` (share of wrong labels) are the calibration."""
@@ -98,6 +103,21 @@ class SubwordModel:
     def logits(self, ids: np.ndarray) -> np.ndarray:
         return (self.embed[ids].mean(0) @ self.weight + self.bias) if len(ids) else np.zeros(len(self.languages))
 
+    def sentence_logits(self, sentence: str) -> np.ndarray:
+        """As ``logits`` of the sentence's features; the sum of each word's embeddings is kept, as words recur."""
+        known = self.__dict__.setdefault("_sums", {})
+        total, n = np.zeros(self.embed.shape[1]), 0
+        for w in TOKEN.findall(sentence.lower()):
+            one = known.get(w)
+            if one is None:
+                ids = word_features(w, len(self.embed))
+                one = (self.embed[ids].sum(0, dtype=float), len(ids))
+                if len(known) < 200_000:
+                    known[w] = one
+            total += one[0]
+            n += one[1]
+        return total / n @ self.weight + self.bias if n else np.zeros(len(self.languages))
+
     def log_probs(self, sentence: str) -> np.ndarray | None:
         """Calibrated log probabilities, or None where the sentence gives no evidence.
 
@@ -108,7 +128,7 @@ class SubwordModel:
             sentence = around
         if sum(c.isalpha() for c in sentence) < MIN_LETTERS:
             return None
-        z = self.logits(features(sentence, len(self.embed))) / self.temperature
+        z = self.sentence_logits(sentence) / self.temperature
         z = z - z.max()
         lp = z - math.log(np.exp(z).sum())
         return None if math.exp(lp.max()) < self.floor else np.maximum(lp, math.log(1e-6))
