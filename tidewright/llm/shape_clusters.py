@@ -273,13 +273,20 @@ def shape_clusters(
     passed = noise_passed(sigma)
 
     def refined(rows: DataFrame, pivots: np.ndarray) -> np.ndarray:
-        """Templates after members have moved to the closest one, without those of too few or too different members."""
+        """Templates after members have moved to the closest one, without those of too few or too different members.
+
+        At most ``refinements`` rounds of moving; it ends with the round that leaves all templates as they are.
+        """
         for turn in range(refinements + 1):
             pivots = _merged(pivots, shift, threshold)
             if not len(pivots):
                 break
             stats = [r for r in _gathered(rows, pivots, pivots[:0], length, shift, threshold, passed) if r["rows"] >= min_rows]
-            pivots = _means([r for r in stats if turn < refinements or r["apart"] <= spread**2 * r["expected"]], length)
+            means = _means(stats, length)
+            still = len(means) == len(pivots) and (similarity(means, pivots, shift)[0].diagonal() > 0.9995).all()
+            if still or turn == refinements:
+                return means[[r["apart"] <= spread**2 * r["expected"] for r in stats]]
+            pivots = means
         return pivots
 
     def assigned(rows: DataFrame, templates: np.ndarray, first: int) -> DataFrame:
