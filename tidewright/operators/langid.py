@@ -8,13 +8,15 @@ letter by letter.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewright.session import checkpointed
+
 LETTERS = 26
 BLOCK = 4096
 
@@ -34,16 +36,27 @@ def codes(letter_string: Column | str) -> Column:
     return F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c) - 97)
 
 
-def letter_counts(texts: DataFrame, lang: str, letter_string: str) -> DataFrame:
-    """(lang, letter, n), letters that occur only.
+def _counted(texts: DataFrame, lang: str, letter_string: str, pairs: bool) -> DataFrame:
+    """(lang, code, n): letters (or 27 prev + cur for letter pairs) counted per batch of texts, then summed per language."""
+    kind = dict(texts.dtypes)[lang]
 
-    A letter's count in a text is what its removal shortens the text by: 26 sums per language in one
-    aggregation, without exploding letters.
-    """
-    one = lambda k: F.sum(F.length(letter_string) - F.length(F.replace(F.col(letter_string), F.lit(chr(97 + k)), F.lit("")))).alias(f"l{k}")
-    wide = texts.where(F.col(lang).isNotNull() & F.col(letter_string).isNotNull()).groupBy(F.col(lang).alias("lang")).agg(*[one(k) for k in range(LETTERS)])
-    pairs = F.array(*[F.struct(F.lit(k).alias("letter"), F.col(f"l{k}").alias("n")) for k in range(LETTERS)])
-    return wide.select("lang", F.explode(pairs).alias("e")).select("lang", F.col("e.letter").alias("letter"), F.col("e.n").alias("n")).where("n > 0")
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            out = [pd.DataFrame({"lang": [], "code": [], "n": []})]
+            for name, group in pdf.groupby("lang"):
+                x = _codes("{".join(group["s"]))  # the sign after z parts the texts: code 26
+                n = np.bincount(27 * x[:-1] + x[1:] if pairs else x)
+                code = np.flatnonzero(n)
+                out.append(pd.DataFrame({"lang": [name] * len(code), "code": code, "n": n[code]}))
+            yield pd.concat(out)
+
+    rows = texts.where(F.col(lang).isNotNull() & F.col(letter_string).isNotNull()).select(F.col(lang).alias("lang"), F.col(letter_string).alias("s"))
+    return rows.mapInPandas(count, f"lang {kind}, code int, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+
+
+def letter_counts(texts: DataFrame, lang: str, letter_string: str) -> DataFrame:
+    """(lang, letter, n), letters that occur only; counted in one pass over the texts without exploding letters."""
+    return _counted(texts, lang, letter_string, False).where(F.col("code") < LETTERS).select("lang", F.col("code").alias("letter"), "n")
 
 
 def train_unigram(texts: DataFrame, lang: str, letter_string: str, smoothing: float = 1e-3) -> DataFrame:
@@ -59,11 +72,9 @@ def train_unigram(texts: DataFrame, lang: str, letter_string: str, smoothing: fl
 
 def train_bigram(texts: DataFrame, lang: str, letter_string: str, smoothing: float = 1.0) -> DataFrame:
     """(lang, prev, cur, p): smoothed transitions, each row of 26 sums to 1; transitions don't cross texts."""
-    s = texts.where(F.col(lang).isNotNull() & (F.length(letter_string) >= 2)).select(F.col(lang).alias("lang"), F.col(letter_string).alias("s"))
-    steps = F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda k: F.substring(F.col("s"), k, F.lit(2)))
-    counts = s.select("lang", F.explode(steps).alias("pair")).groupBy("lang", "pair").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.select("lang", (F.ascii("pair") - 97).alias("prev"), (F.ascii(F.substring("pair", 2, 1)) - 97).alias("cur"), "n")
-    spine = s.select("lang").distinct().select("lang", F.explode(F.sequence(F.lit(0), F.lit(LETTERS - 1))).alias("prev")).select("lang", "prev", F.explode(F.sequence(F.lit(0), F.lit(LETTERS - 1))).alias("cur"))
+    prev, cur = F.floor(F.col("code") / 27).cast("int"), F.col("code") % 27
+    counts = checkpointed(_counted(texts, lang, letter_string, True).select("lang", prev.alias("prev"), cur.alias("cur"), "n").where("prev < 26 AND cur < 26"))  # at most 676 rows a language
+    spine = counts.select("lang").distinct().select("lang", F.explode(F.sequence(F.lit(0), F.lit(LETTERS - 1))).alias("prev")).select("lang", "prev", F.explode(F.sequence(F.lit(0), F.lit(LETTERS - 1))).alias("cur"))
     full = spine.join(counts, ["lang", "prev", "cur"], "left").select("lang", "prev", "cur", (F.coalesce("n", F.lit(0)) + smoothing).alias("w"))
     return full.select("lang", "prev", "cur", F.try_divide(F.col("w"), F.sum("w").over(Window.partitionBy("lang", "prev"))).alias("p"))
 
