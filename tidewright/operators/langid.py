@@ -42,13 +42,15 @@ def _counted(texts: DataFrame, lang: str, letter_string: str, pairs: bool) -> Da
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            out = [pd.DataFrame({"lang": [], "code": [], "n": []})]
+            names, codes_, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for name, group in pdf.groupby("lang"):
                 x = _codes("{".join(group["s"]))  # the sign after z parts the texts: code 26
                 n = np.bincount(27 * x[:-1] + x[1:] if pairs else x)
-                code = np.flatnonzero(n)
-                out.append(pd.DataFrame({"lang": [name] * len(code), "code": code, "n": n[code]}))
-            yield pd.concat(out)
+                found = np.flatnonzero(n)
+                names += [name] * len(found)
+                codes_.append(found)
+                counts.append(n[found])
+            yield pd.DataFrame({"lang": pd.Series(names, dtype=object), "code": np.concatenate(codes_), "n": np.concatenate(counts)})
 
     rows = texts.where(F.col(lang).isNotNull() & F.col(letter_string).isNotNull()).select(F.col(lang).alias("lang"), F.col(letter_string).alias("s"))
     return rows.mapInPandas(count, f"lang {kind}, code int, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
