@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from tidewright.functions import arrays as A
 from tidewright.functions import signal, spd
 from tidewright.operators.classify import class_means
-from tidewright.session import checkpointed
+from tidewright.session import checkpointed, spread
 
 
 def best_shift(x: Column | str, template: Column | str, max_shift: int) -> Column:
@@ -113,12 +115,22 @@ def pca(df: DataFrame, features: str, k: int) -> tuple[DataFrame, list[float]]:
     return model.transform(v).withColumn("pcs", shifted).drop("_v", "_p"), [float(s) for s in model.explainedVariance]
 
 
+def _best_model(vectors: DataFrame, features: str, k: int, seeds: Sequence[int], max_iter: int, at_once: int = 4) -> KMeansModel:
+    """The model of least cost among the seeds; ``at_once`` fits run side by side on one kept copy of the vectors."""
+    kept = vectors.select(features).persist(StorageLevel.MEMORY_AND_DISK)
+    fit = inheritable_thread_target(kept.sparkSession)(lambda s: KMeans(k=k, seed=s, maxIter=max_iter, featuresCol=features, predictionCol="cluster").fit(kept))
+    try:
+        with ThreadPool(at_once) as pool:
+            models = pool.map(fit, seeds)
+    finally:
+        kept.unpersist()
+    return min(models, key=lambda m: m.summary.trainingCost)
+
+
 def kmeans(df: DataFrame, features: str, k: int, seeds: Sequence[int] = range(10), max_iter: int = 50) -> DataFrame:
     """``df`` with ``cluster``: k-means|| and Lloyd by Spark ML, the best of several seeds."""
-    v = checkpointed(df.withColumn("_v", array_to_vector(F.col(features))))
-    models = [KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="_v", predictionCol="cluster").fit(v) for s in seeds]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(v).drop("_v")
+    v = checkpointed(df.withColumn(features, array_to_vector(F.col(features))))
+    return _best_model(v, features, k, seeds, max_iter).transform(v).withColumn(features, vector_to_array(F.col(features)))
 
 
 def log_euclidean_kmeans(df: DataFrame, id_col: str, tangent: str, k: int, seeds: Sequence[int] = range(10), max_iter: int = 50) -> DataFrame:
@@ -127,9 +139,7 @@ def log_euclidean_kmeans(df: DataFrame, id_col: str, tangent: str, k: int, seeds
     The log-Euclidean mean is the plain mean of tangent features, so this is Lloyd's iteration there, from
     the best centers that k-means|| and Lloyd find from several seeds.
     """
-    v = df.withColumn("_v", array_to_vector(F.col(tangent)))
-    models = [KMeans(k=k, seed=s, maxIter=max_iter, featuresCol="_v").fit(v) for s in seeds]
-    first = min(models, key=lambda m: m.summary.trainingCost).clusterCenters()
+    first = _best_model(df.select(array_to_vector(F.col(tangent)).alias("_v")), "_v", k, seeds, max_iter).clusterCenters()
     return lloyd(df, id_col, tangent, [c.tolist() for c in first], max_iter, 1e-9)[0]
 
 
@@ -142,12 +152,12 @@ def fusion_features(df: DataFrame, wf: str, out: str, dim: int = 16, lag: int =
 
 def sort_pca(waveforms: DataFrame, id_col: str, wf: str, k: int, components: int = 3) -> DataFrame:
     """(id, cluster): principal components, then k-means."""
-    return kmeans(pca(waveforms.select(id_col, wf), wf, components)[0], "pcs", k).select(id_col, "cluster")
+    return kmeans(pca(spread(waveforms.select(id_col, wf), id_col), wf, components)[0], "pcs", k).select(id_col, "cluster")
 
 
 def sort_spd(waveforms: DataFrame, id_col: str, wf: str, k: int, dim: int = 8, lag: int = 3) -> DataFrame:
     """(id, cluster): delay descriptors, then log-Euclidean k-means."""
-    m = waveforms.select(id_col, A.delay_descriptor(wf, dim, lag).alias("m"))
+    m = spread(waveforms.select(id_col, wf), id_col).select(id_col, A.delay_descriptor(wf, dim, lag).alias("m"))
     t = checkpointed(spd.with_tangent(m, "m", dim, "t").select(id_col, "t")).where("t IS NOT NULL")
     return log_euclidean_kmeans(t, id_col, "t", k).select(id_col, "cluster")
 
@@ -165,7 +175,7 @@ def sort_refined(waveforms: DataFrame, id_col: str, wf: str, k: int, fs: float,
     def clustered(rows: DataFrame) -> DataFrame:
         if descriptor == "delay":
             return sort_spd(rows, id_col, "x", k, dim, lag)
-        f = checkpointed(fusion_features(rows.select(id_col, "x"), "x", "f").select(id_col, "f")).where("f IS NOT NULL")
+        f = fusion_features(spread(rows.select(id_col, "x"), id_col), "x", "f").select(id_col, "f").where("f IS NOT NULL")
         return kmeans(f, "f", k).select(id_col, "cluster")
 
     for _ in range(rounds):

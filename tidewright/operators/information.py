@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewright.operators.series import indexed
-from tidewright.session import checkpointed
+from tidewright.session import checkpointed, spread
 
 METHODS = ("plugin", "miller_madow", "shuffle")
 
@@ -69,8 +72,8 @@ def mutual_information(joint: DataFrame, x: str, y: str, keys: Sequence[str] = (
     return sums.select(*keys, mi.alias("mi")).where(total.isNotNull())
 
 
-def shuffled_labels(trials: DataFrame, trial_id: str, stimulus: str, b: int, seed: int) -> DataFrame:
-    """Each of ``b`` permutations of the stimulus over the trials, as rows (b, trial id, stimulus).
+def label_arrays(trials: DataFrame, trial_id: str, stimulus: str, b: int, seed: int) -> DataFrame:
+    """(trial id, labels): what each of ``b`` permutations of the stimulus over the trials gives the trial, as one array.
 
     Permutation k gives the trial at position r of id order the stimulus of the trial at position r in
     the order of md5(id|k|seed): reproducible on any engine, without a random stream. Positions are counted
@@ -80,22 +83,113 @@ def shuffled_labels(trials: DataFrame, trial_id: str, stimulus: str, b: int, see
         raise ValueError("b must be positive")
     ranged = checkpointed(trials.select(trial_id, stimulus).repartitionByRange(F.col(trial_id)).withColumn("_p", F.spark_partition_id()))
     placed = indexed(ranged, [], trial_id, [], F.col("_p"), "pos").drop("_p")
-    draws = F.explode(F.sequence(F.lit(1), F.lit(b))).alias("b")
-    hashed = placed.select(trial_id, stimulus, draws).withColumn("_h", F.md5(F.concat_ws("|", F.col(trial_id), F.col("b"), F.lit(seed))))
-    shuffled = indexed(hashed, ["b"], "_h", [trial_id], F.substring("_h", 1, 3), "pos").select("b", "pos", stimulus)
-    return placed.select(trial_id, "pos", draws).join(shuffled, ["b", "pos"]).select("b", trial_id, stimulus)
+    drawn = spread(ranged.select(trial_id, stimulus), trial_id).select(trial_id, stimulus, F.explode(F.sequence(F.lit(1), F.lit(b))).alias("b"))
+    hashed = drawn.withColumn("_h", F.unhex(F.md5(F.concat_ws("|", F.col(trial_id), F.col("b"), F.lit(seed)))))
+    shuffled = indexed(hashed, ["b"], "_h", [trial_id], F.hex(F.substring("_h", 1, 1)), "pos").select("b", "pos", stimulus)
+    packed = shuffled.groupBy("pos").agg(F.array_sort(F.collect_list(F.struct(F.col("b"), F.col(stimulus).alias("s")))).alias("_l"))
+    return placed.select(trial_id, "pos").join(packed, "pos").select(trial_id, F.transform("_l", lambda e: e["s"]).alias("labels"))
+
+
+def shuffled_labels(trials: DataFrame, trial_id: str, stimulus: str, b: int, seed: int) -> DataFrame:
+    """Each of ``b`` permutations of the stimulus over the trials, as rows (b, trial id, stimulus)."""
+    made = label_arrays(trials, trial_id, stimulus, b, seed)
+    return made.select(trial_id, F.posexplode("labels").alias("b", stimulus)).select((F.col("b") + 1).alias("b"), trial_id, stimulus)
+
+
+def coded_labels(rows: DataFrame, trial_id: str, stimulus: str, b: int, seed: int) -> tuple[DataFrame, int]:
+    """((trial id, labels), number of stimuli): label arrays of the trials of ``rows`` with stimuli numbered from 1, null as 0; written once."""
+    trials = rows.select(trial_id, stimulus).distinct()
+    codes = trials.where(F.col(stimulus).isNotNull()).select(stimulus).distinct()  # one row per stimulus
+    codes = checkpointed(codes.select(stimulus, F.row_number().over(Window.orderBy(stimulus)).alias("_code")))
+    coded = trials.join(codes, stimulus, "left").select(trial_id, F.coalesce("_code", F.lit(0)).alias("_code"))
+    return checkpointed(label_arrays(coded, trial_id, "_code", b, seed)), codes.count()
 
 
-def mi_by_key(rows: DataFrame, keys: Sequence[str], response: str, stimulus: str, trial_id: str | None = None, method: str = "plugin", b: int = 20, seed: int = 0) -> DataFrame:
-    """MI between response and stimulus per key by any of the three estimators (``shuffle`` needs unique trial ids)."""
+def _distinct_cells(cells: pa.StructArray) -> tuple[pa.StructArray, np.ndarray]:
+    """Distinct structs and the place of each struct among them."""
+    code = np.zeros(len(cells), np.int64)
+    for field in cells.flatten():
+        part = field.dictionary_encode(null_encoding="encode")
+        code = np.unique(code * max(len(part.dictionary), 1) + part.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+    _, first, place = np.unique(code, return_index=True, return_inverse=True)
+    return cells.take(pa.array(first)), place
+
+
+def surrogate_counts(rows: DataFrame, keys: Sequence[str], response: str, trial_id: str, labels: DataFrame, b: int, stimuli: int, held: int = 8_000_000) -> DataFrame:
+    """Counts ``n`` of (keys, b, response, code) under each permutation of ``coded_labels``.
+
+    Responses of a trial are packed next to its labels, so rows aren't multiplied by ``b``: each Arrow batch
+    counts all permutations with numpy and adds to the counts of its task, which are passed on when they
+    exceed ``held`` numbers. Null responses and null stimuli aren't counted.
+    """
+    cell = F.struct(*keys, F.col(response).alias("_x"))
+    packed = rows.where(F.col(response).isNotNull()).groupBy(trial_id).agg(F.collect_list(cell).alias("_cells"))
+    met = packed.join(labels, trial_id).select("_cells", "labels")
+    wide = stimuli + 1
+
+    def counted(cells: pa.StructArray, trial: np.ndarray, drawn: np.ndarray) -> tuple[pa.StructArray, np.ndarray]:
+        kinds, place = _distinct_cells(cells)
+        table = np.empty((len(kinds), b, wide), np.int64)
+        for k in range(b):
+            table[:, k] = np.bincount(place * wide + drawn[trial, k], minlength=len(kinds) * wide).reshape(-1, wide)
+        return kinds, table
+
+    def merged(parts: list) -> tuple[pa.StructArray, np.ndarray]:
+        kinds, place = _distinct_cells(pa.concat_arrays([p[0] for p in parts]))
+        table = np.zeros((len(kinds), b, wide), np.int64)
+        np.add.at(table, place, np.concatenate([p[1] for p in parts]))
+        return kinds, table
+
+    def passed(kinds: pa.StructArray, table: np.ndarray):
+        size = b * wide
+        step = max(1, held // size)
+        for at in range(0, len(kinds), step):
+            flat = table[at : at + step].reshape(-1)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, size, dtype=np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([kinds.slice(at, step), lists], names=["_cell", "_n"])
+
+    def count(batches):
+        parts, numbers = [], 0
+        for batch in batches:
+            lists, at = batch.column(0), 0
+            drawn = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, b)
+            sizes = np.diff(lists.offsets.to_numpy())
+            step = np.searchsorted(np.cumsum(sizes), np.arange(0, sizes.sum() + 1, max(1, held // (b * wide))), "right")
+            for end in [*np.unique(step[step > 0]).tolist(), len(sizes)]:
+                if end > at:
+                    trial = np.repeat(np.arange(at, end), sizes[at:end])
+                    parts.append(counted(lists.slice(at, end - at).flatten(), trial, drawn))
+                    numbers += parts[-1][1].size
+                    at = end
+                if numbers > 2 * held:
+                    parts = [merged(parts)]
+                    numbers = parts[0][1].size
+                    if numbers > held:
+                        yield from passed(*parts[0])
+                        parts, numbers = [], 0
+        if parts:
+            yield from passed(*merged(parts))
+
+    kept = T.StructType([T.StructField("_cell", packed.schema["_cells"].dataType.elementType), T.StructField("_n", T.ArrayType(T.LongType()))])
+    summed = met.mapInArrow(count, kept).select("_cell.*", F.posexplode("_n").alias("_at", "_n")).where("_n > 0")
+    draw, code = F.floor(F.col("_at") / wide).cast("int"), F.col("_at") % wide
+    return summed.where(code > 0).groupBy(*keys, "_x", "_at").agg(F.sum("_n").alias("n")).select(*keys, (draw + 1).alias("b"), F.col("_x").alias(response), code.alias("code"), "n")
+
+
+def mi_by_key(
+    rows: DataFrame, keys: Sequence[str], response: str, stimulus: str, trial_id: str | None = None, method: str = "plugin", b: int = 20, seed: int = 0, labels: tuple[DataFrame, int] | None = None
+) -> DataFrame:
+    """MI between response and stimulus per key by any of the three estimators (``shuffle`` needs unique trial ids).
+
+    ``labels``: the ``coded_labels`` of the trials where they exist already.
+    """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
     if method != "shuffle":
         return mutual_information(joint_histogram(rows, response, stimulus, keys), response, stimulus, keys, method=method)
     observed = mutual_information(joint_histogram(rows, response, stimulus, keys), response, stimulus, keys)
-    trials = rows.select(trial_id, stimulus).distinct()
-    surrogate = rows.drop(stimulus).join(shuffled_labels(trials, trial_id, stimulus, b, seed), trial_id)
-    spread = mutual_information(joint_histogram(surrogate, response, stimulus, [*keys, "b"]), response, stimulus, [*keys, "b"])
+    drawn, stimuli = labels or coded_labels(rows, trial_id, stimulus, b, seed)
+    spread = mutual_information(surrogate_counts(rows, keys, response, trial_id, drawn, b, stimuli), response, "code", [*keys, "b"])
     if not keys:
         return observed.crossJoin(spread.agg(F.avg("mi").alias("_s"))).select((F.col("mi") - F.col("_s")).alias("mi"))
     means = spread.groupBy(*keys).agg(F.avg("mi").alias("_s"))
@@ -132,8 +226,9 @@ def pair_rows(rows: DataFrame, neuron: str, trial_id: str, response: str, stimul
 def synergy(rows: DataFrame, neuron: str, trial_id: str, response: str, stimulus: str, method: str = "plugin", b: int = 20, seed: int = 0) -> DataFrame:
     """SR(i, j) = I(Ri,Rj;S) - I(Ri;S) - I(Rj;S) for i < j by one estimator."""
     pairs = pair_rows(rows, neuron, trial_id, response, stimulus).withColumn("_rr", F.concat_ws("|", "ri", "rj"))
-    joint = mi_by_key(pairs.drop("ri", "rj"), ["i", "j"], "_rr", stimulus, trial_id, method, b, seed).withColumnRenamed("mi", "_mij")
-    single = mi_by_key(rows.select(neuron, trial_id, response, stimulus), [neuron], response, stimulus, trial_id, method, b, seed)
+    labels = coded_labels(rows, trial_id, stimulus, b, seed) if method == "shuffle" else None
+    joint = mi_by_key(pairs.drop("ri", "rj"), ["i", "j"], "_rr", stimulus, trial_id, method, b, seed, labels).withColumnRenamed("mi", "_mij")
+    single = mi_by_key(rows.select(neuron, trial_id, response, stimulus), [neuron], response, stimulus, trial_id, method, b, seed, labels)
     mi_i = single.select(F.col(neuron).alias("i"), F.col("mi").alias("_mi"))
     mi_j = single.select(F.col(neuron).alias("j"), F.col("mi").alias("_mj"))
     return joint.join(mi_i, "i").join(mi_j, "j").select("i", "j", (F.col("_mij") - F.col("_mi") - F.col("_mj")).alias("sr"))

@@ -9,7 +9,8 @@ from tidewright.functions import arrays as A
 from tidewright.operators import information as info
 from tidewright.session import read_table
 
-B, SEED = 5, 7
+#: Permutations of one estimate and of rankings and pairs, as the defaults of the estimators asked for.
+B_ONE, B_MANY, SEED = 200, 100, 7
 
 
 def line_neurons(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,7 +76,7 @@ def mi_plugin(spark, sf):
 def _ranking(method, source):
     def run(spark, sf):
         rows = source(spark, sf)
-        mi = info.mi_by_key(rows, ["neuron"], "response", "stimulus", "event_id", method, B, SEED)
+        mi = info.mi_by_key(rows, ["neuron"], "response", "stimulus", "event_id", method, B_MANY, SEED)
         return info.rank_by_information(mi, "neuron").select("neuron", r6("mi"), "position")
 
     return run
@@ -109,10 +110,12 @@ def shuffle_sql(source: str, keys: str, out: str, x: str = "response") -> str:
          JOIN (SELECT {keys}, avg(mi) AS m FROM {out}_srr GROUP BY {keys}) s ON {on})"""
 
 
-PERM_SQL = f"""
+def perm_sql(b: int) -> str:
+    """CTEs that end in perm(event_id, b, stimulus): ``b`` permutations of the stimuli over the trials of pop."""
+    return f"""
 ids AS (SELECT event_id, stimulus, row_number() OVER (ORDER BY event_id) AS r FROM (SELECT DISTINCT event_id, stimulus FROM pop)),
 hsh AS (SELECT event_id, stimulus, b, row_number() OVER (PARTITION BY b ORDER BY md5(concat_ws('|', event_id, b, {SEED})), event_id) AS r
-        FROM ids, (SELECT unnest(range(1, {B} + 1)) AS b)),
+        FROM ids, (SELECT unnest(range(1, {b} + 1)) AS b)),
 perm AS (SELECT ids.event_id, hsh.b, hsh.stimulus FROM ids JOIN hsh ON ids.r = hsh.r)"""
 
 
@@ -132,7 +135,7 @@ def mi_miller_madow(spark, sf):
 
 def mi_shuffle(spark, sf):
     rows = event_neurons(spark, sf).where("neuron = 'r2'")
-    return info.mi_by_key(rows, ["neuron"], "response", "stimulus", "event_id", "shuffle", B, SEED).select(r6("mi"))
+    return info.mi_by_key(rows, ["neuron"], "response", "stimulus", "event_id", "shuffle", B_ONE, SEED).select(r6("mi"))
 
 
 def most_informative(spark, sf):
@@ -142,7 +145,7 @@ def most_informative(spark, sf):
 
 def _synergy(method, full=True):
     def run(spark, sf):
-        sr = info.synergy(event_neurons(spark, sf), "neuron", "event_id", "response", "stimulus", method, B, SEED)
+        sr = info.synergy(event_neurons(spark, sf), "neuron", "event_id", "response", "stimulus", method, B_MANY, SEED)
         return (info.synergy_matrix(sr) if full else info.synergy_counts(sr)).select(*(["i", "j", r6("sr")] if full else ["redundant", "synergistic", r6("sr_total")]))
 
     return run
@@ -231,16 +234,16 @@ QUERIES = {
 ORACLES = {
     "mi_plugin": f"WITH {mi_sql('lineitem', '', 'l_returnflag', 'l_linestatus', 'mi')} SELECT round(mi, 6) + 0.0 AS mi FROM mi",
     "mi_miller_madow": f"WITH l AS (SELECT cast(l_quantity AS int) AS q, l_returnflag FROM lineitem), {mi_sql('l', '', 'q', 'l_returnflag', 'mi', mm=True)} SELECT round(mi, 6) + 0.0 AS mi FROM mi",
-    "mi_shuffle": f"WITH {EVENT_SQL}, {PERM_SQL}, r2 AS (SELECT * FROM pop WHERE neuron = 'r2'), {shuffle_sql('r2', 'neuron', 'mi')} SELECT round(mi, 6) + 0.0 AS mi FROM mi",
+    "mi_shuffle": f"WITH {EVENT_SQL}, {perm_sql(B_ONE)}, r2 AS (SELECT * FROM pop WHERE neuron = 'r2'), {shuffle_sql('r2', 'neuron', 'mi')} SELECT round(mi, 6) + 0.0 AS mi FROM mi",
     "entropy_by_type": "WITH c AS (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL), p AS (SELECT event_type, n / sum(n) OVER (PARTITION BY event_type) AS p FROM c) SELECT event_type, round(-sum(p * log2(p)), 6) + 0.0 AS entropy FROM p GROUP BY event_type",
     "joint_histogram": "SELECT l_linestatus, l_returnflag, count(*) AS n FROM lineitem WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY ALL",
     "neuron_ranking_plugin": f"WITH {LINE_SQL}, {mi_sql('rws', 'neuron', 'response', 'stimulus', 'mi')} {RANK_SQL}",
     "neuron_ranking_mm": f"WITH {LINE_SQL}, {mi_sql('rws', 'neuron', 'response', 'stimulus', 'mi', mm=True)} {RANK_SQL}",
-    "neuron_ranking_shuffle": f"WITH {EVENT_SQL}, {PERM_SQL}, {shuffle_sql('pop', 'neuron', 'mi')} {RANK_SQL}",
+    "neuron_ranking_shuffle": f"WITH {EVENT_SQL}, {perm_sql(B_MANY)}, {shuffle_sql('pop', 'neuron', 'mi')} {RANK_SQL}",
     "most_informative": f"WITH {LINE_SQL}, {mi_sql('rws', 'neuron', 'response', 'stimulus', 'mi')} SELECT neuron, round(mi, 6) + 0.0 AS mi FROM mi WHERE round(mi, 12) = (SELECT max(round(mi, 12)) FROM mi)",
     "synergy_matrix_plugin": f"{_sr_sql(False)} {FULL_SQL}",
     "synergy_matrix_mm": f"{_sr_sql(True)} {FULL_SQL}",
-    "synergy_matrix_shuffle": f"WITH {EVENT_SQL}, {PERM_SQL}, {PAIRS_SQL}, {shuffle_sql('pop', 'neuron', 'mi')}, {shuffle_sql('pairs', 'i, j', 'mij', 'rr')}, {SR_TAIL} {FULL_SQL}",
+    "synergy_matrix_shuffle": f"WITH {EVENT_SQL}, {perm_sql(B_MANY)}, {PAIRS_SQL}, {shuffle_sql('pop', 'neuron', 'mi')}, {shuffle_sql('pairs', 'i, j', 'mij', 'rr')}, {SR_TAIL} {FULL_SQL}",
     "synergy_counts": f"{_sr_sql(False)} SELECT count(*) FILTER (round(sr, 9) < 0) AS redundant, count(*) FILTER (round(sr, 9) > 0) AS synergistic, round(sum(sr), 6) + 0.0 AS sr_total FROM sr",
     "noise_corr": f"WITH {EVENT_SQL}, {PAIRS_SQL}, {NOISE_SQL} SELECT i, j, round(noise_mi, 6) + 0.0 AS noise_mi FROM noise",
     "signal_corr": f"WITH {EVENT_SQL}, {PAIRS_SQL}, {SIGNAL_SQL} SELECT i, j, round(mi, 6) + 0.0 AS signal_mi FROM sig",

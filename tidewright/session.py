@@ -66,6 +66,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over as many tasks as the session has shuffle partitions or cores: few bytes before costly work per row would share one task."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), key)
+
+
 def fitting_broadcast(df: DataFrame, bound_rows: int) -> bool:
     """Whether ``df`` has at most ``bound_rows`` rows; reads no more than one row beyond the bound."""
     return df.limit(bound_rows + 1).count() <= bound_rows
