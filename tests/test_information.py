@@ -63,6 +63,22 @@ def test_shuffle_is_a_permutation(spark):
         info.shuffled_labels(trials, "id", "s", 0, 7)
 
 
+def test_surrogate_counts_equal_a_join(spark):
+    """Counts per batch are those of the rows multiplied by the permutations, null responses and stimuli left out, in any block size."""
+    rows = [(n, t, None if (t + n) % 11 == 0 else (t * 7 + n) % 5, None if t % 13 == 0 else "abc"[t % 3]) for t in range(60) for n in range(3) if (t + n) % 4]
+    df = spark.createDataFrame(rows, "neuron int, trial_id int, response int, stimulus string")
+    b, seed = 6, 3
+    codes = {c: k for k, c in enumerate(sorted({r[3] for r in rows if r[3]}), 1)}
+    joined = df.drop("stimulus").join(info.shuffled_labels(df.select("trial_id", "stimulus").distinct(), "trial_id", "stimulus", b, seed), "trial_id")
+    want = {(r["neuron"], r["b"], r["response"], codes[r["stimulus"]]): r["n"] for r in info.joint_histogram(joined, "response", "stimulus", ["neuron", "b"]).collect()}
+    labels, stimuli = info.coded_labels(df, "trial_id", "stimulus", b, seed)
+    for held in (1, 200, 8_000_000):
+        got = {(r["neuron"], r["b"], r["response"], r["code"]): r["n"] for r in info.surrogate_counts(df, ["neuron"], "response", "trial_id", labels, b, stimuli, held).collect()}
+        assert got == want
+    empty = df.where("false")
+    assert info.mi_by_key(empty, ["neuron"], "response", "stimulus", "trial_id", "shuffle", 2).count() == 0
+
+
 def test_synergy_of_xor(spark):
     rows = [(n, t, (t >> n) & 1, ((t >> 0) ^ (t >> 1)) & 1) for t in range(64) for n in (0, 1)]
     df = spark.createDataFrame(rows, "neuron int, trial_id int, response int, stimulus int")

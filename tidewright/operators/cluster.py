@@ -32,8 +32,9 @@ def best_shift(x: Column | str, template: Column | str, max_shift: int) -> Colum
 
 
 def roll(x: Column | str, shift: Column) -> Column:
+    """``x`` moved cyclically by ``shift``, which is computed once a row, not once a sample."""
     c = F.col(x) if isinstance(x, str) else x
-    return F.transform(c, lambda _, i: F.get(c, F.pmod(i - shift, F.size(c)).cast("int")))
+    return F.transform(F.array(shift), lambda s: F.transform(c, lambda _, i: F.get(c, F.pmod(i - s, F.size(c)).cast("int"))))[0]
 
 
 def align_waveforms(waveforms: DataFrame, wf: str, template: Sequence[float] | None = None, max_shift: int = 6) -> DataFrame:
