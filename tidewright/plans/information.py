@@ -9,7 +9,7 @@ from tidewright.functions import arrays as A
 from tidewright.operators import information as info
 from tidewright.session import read_table
 
-#: Permutations of one estimate and of rankings and pairs, as the defaults of the estimators asked for.
+#: Permutations behind one estimate, behind each of many (rankings, pairs), and their seed.
 B_ONE, B_MANY, SEED = 200, 100, 7
 
 
