@@ -1,9 +1,12 @@
 """Queries on all 8 channels of the windows, against numpy on a small table."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from tidewright.functions import spd
+from tidewright.operators import classify as C
 
 N = 43
 
@@ -95,3 +98,33 @@ def test_tangents_at_the_mean(spark, table):
         half, back = apply(mean, lambda w: w**-0.5), apply(mean, np.sqrt)
         mean = back @ apply(np.mean([apply(half @ cov(w) @ half, np.log) for w in x], axis=0), np.exp) @ back
     assert np.allclose(np.linalg.norm(t, axis=1), [airm(mean, cov(w)) for w in x], atol=1e-5)
+
+
+def test_affine_neighbours_get_few_eigenvalues(spark, monkeypatch):
+    """Rows beyond the log-Euclidean bound get no eigenvalues, and the neighbours are those of all pairs; singular matrices are compared whole."""
+    rng = np.random.default_rng(12)
+    a = rng.normal(size=(120, 20, 4)) * rng.uniform(0.5, 2, (120, 1, 4))
+    m = np.einsum("nti,ntj->nij", a, a) / 20
+    m[7], m[8] = 0, np.outer(m[8, 0], m[8, 0])
+    m[100:] = m[:20]
+    neighbours = C.nearest_neighbours(*[spark.createDataFrame([(i, 0, x.ravel().tolist()) for i, x in enumerate(m)], "id int, label int, x array<double>")] * 2, 3, metric="airm", d=4, block=50)
+    got = {}
+    for r in neighbours.collect():
+        got.setdefault(r["qid"], {})[r["place"]] = (r["tid"], r["d"])
+    for i, x in enumerate(m):
+        d = spd.airm_numpy(np.repeat(x[None], 120, 0), m)
+        want = sorted((d[j], j) for j in range(120) if j != i)[:3]
+        assert [got[i][p][1] for p in (1, 2, 3)] == pytest.approx([w[0] for w in want], abs=1e-6)
+    asked = 0
+    exact = np.linalg.eigvalsh
+
+    def counted(x):
+        nonlocal asked
+        asked += len(x)
+        return exact(x)
+
+    monkeypatch.setattr(np.linalg, "eigvalsh", counted)
+    i, j = np.triu_indices(4)
+    frame = lambda name, block: pd.DataFrame({name: block, f"{name}x": list(m[block][:, i, j])})
+    near = C.compared(frame("q", np.arange(20, 60)).assign(qf=None), frame("t", np.arange(60, 100)).assign(label=0, tf=None), 3, "airm", 4, False)
+    assert len(near) == 120 and asked < 40 * 40 / 2
