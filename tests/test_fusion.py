@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tidewright.functions import arrays as A
 from tidewright.functions import spd
 from tidewright.operators import cluster as K
+from tidewright.operators import fusion
+from tidewright.sources import generators as gen
 
 
 def tangent(m):
@@ -36,3 +38,38 @@ def test_fusion_takes_every_sample(spark):
     assert len(got[0]) == 136 + 4186 and np.abs(got[0] - got[1])[136:].max() > 0.1
     zero = K.fusion_features(spark.createDataFrame([(0, [0.0] * 91)], "id int, x array<double>"), "x", "f")
     assert zero.where(F.col("f").isNull()).count() == 1
+
+
+def test_packed_kmeans_is_that_of_the_features(spark, monkeypatch):
+    """Distances, means and fixed points of packed waveforms are those of their 4,322 features, which sort_refined doesn't make."""
+    rng = np.random.default_rng(13)
+    x = gen.templates(91)[np.arange(60) % 3] * 3 + rng.normal(0, 0.4, (60, 91))
+    df = spark.createDataFrame([(i, w.tolist()) for i, w in enumerate(x)] + [(60, [0.0] * 91), (61, None)], "id int, x array<double>")
+    packed = fusion.pack(df, "id", "x", x.mean(0).tolist(), 0)
+    centers = fusion.kmeans(packed, 3, range(4), tol=0.0)
+    named = {r["id"]: r["cluster"] for r in fusion.labelled(packed, centers, "id").collect()}
+    assert sorted(named) == list(range(60)) and {named[i] for i in range(60)} == {0, 1, 2}
+    f = {r["id"]: np.array(r["f"]) for r in K.fusion_features(df.where("id < 60"), "x", "f").select("id", "f").collect()}
+    f, near = np.array([f[i] for i in range(60)]), np.array([named[i] for i in range(60)])
+    means = np.array([f[near == c].mean(0) for c in range(3)])
+    d2 = ((f[:, None] - means) ** 2).sum(2)
+    assert near.tolist() == d2.argmin(1).tolist()
+    assert fusion.distances(fusion.parts(x, 16, 3), 91, centers) == pytest.approx(d2, rel=1e-8, abs=1e-6)
+    middle = fusion.medians(packed, centers)
+    assert all(middle[c] == pytest.approx(np.median(x[near == c], axis=0)) for c in range(3))
+
+    def made(*_, **__):
+        raise AssertionError("features were made")
+
+    monkeypatch.setattr(K, "fusion_features", made)
+    got = {r["id"]: r["cluster"] for r in K.sort_refined(df.where("id < 60"), "id", "x", 3, 30_000.0).collect()}
+    assert len(got) == 60 and len({(got[i], i % 3) for i in range(60)}) == 3
+
+
+def test_rolls_are_those_of_best_shift(spark):
+    rng = np.random.default_rng(14)
+    x, t = rng.normal(size=(40, 91)), rng.normal(size=91)
+    df = spark.createDataFrame([(i, w.tolist()) for i, w in enumerate(x)], "id int, x array<double>")
+    want = {r["id"]: r["aligned"] for r in K.align_waveforms(df, "x", t.tolist(), 6).collect()}
+    got = fusion._aligned(x, t, 6)
+    assert all(got[i].tolist() == want[i] for i in range(40))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidewright.functions import arrays as A
 from tidewright.functions import signal, spd
+from tidewright.operators import fusion
 from tidewright.operators.classify import class_means
 from tidewright.session import checkpointed, spread
 
@@ -170,21 +171,25 @@ def sort_refined(waveforms: DataFrame, id_col: str, wf: str, k: int, fs: float,
     """
     if descriptor not in ("fusion", "delay"):
         raise ValueError("descriptor must be fusion or delay")
-    clean = checkpointed(waveforms.select(id_col, signal.lowpass(F.col(wf), cutoff_hz, fs).alias("x")))
+    rows = spread(waveforms.select(id_col, wf), id_col)
+    clean = checkpointed(rows.select(id_col, signal.lowpass(F.col(wf), cutoff_hz, fs).alias("x")))
+    if descriptor == "fusion":
+        mean = [r["m"] for r in clean.select(F.posexplode("x").alias("pos", "v")).groupBy("pos").agg(F.avg("v").alias("m")).orderBy("pos").collect()]  # one number per sample
+        packed = fusion.pack(clean, id_col, "x", mean, max_shift)
+        centers = fusion.kmeans(packed, k)
+        for _ in range(rounds):
+            packed = fusion.realigned(packed, centers, fusion.medians(packed, centers), max_shift)
+            centers = fusion.kmeans(packed, k)
+        found = sorted(fusion.medians(packed, centers).items())
+        templates = clean.sparkSession.createDataFrame([(c, t.tolist()) for c, t in found], "cluster int, template array<double>")
+        return screen_overlaps(checkpointed(fusion.labelled(packed, centers, id_col)), id_col, "x", "cluster", templates).select(id_col, "cluster", "is_overlap")
     aligned = checkpointed(align_waveforms(clean, "x", max_shift=max_shift).select(id_col, F.col("aligned").alias("x")))
-
-    def clustered(rows: DataFrame) -> DataFrame:
-        if descriptor == "delay":
-            return sort_spd(rows, id_col, "x", k, dim, lag)
-        f = fusion_features(spread(rows.select(id_col, "x"), id_col), "x", "f").select(id_col, "f").where("f IS NOT NULL")
-        return kmeans(f, "f", k).select(id_col, "cluster")
-
     for _ in range(rounds):
-        labels = clustered(aligned)
+        labels = sort_spd(aligned, id_col, "x", k, dim, lag)
         templates = cluster_templates(aligned.join(labels, id_col), "x", "cluster")
         met = aligned.join(labels, id_col).join(F.broadcast(templates), "cluster")  # k rows
         aligned = checkpointed(met.select(id_col, roll("x", best_shift("x", "template", max_shift)).alias("x")))
-    labelled = checkpointed(aligned.join(clustered(aligned), id_col))
+    labelled = checkpointed(aligned.join(sort_spd(aligned, id_col, "x", k, dim, lag), id_col))
     screened = screen_overlaps(labelled, id_col, "x", "cluster", cluster_templates(labelled, "x", "cluster"))
     return screened.select(id_col, "cluster", "is_overlap")
 
