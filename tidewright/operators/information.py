@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewright.operators.permutations import distinct_cells, permuted
 from tidewright.operators.series import indexed
 from tidewright.session import checkpointed, spread
 
@@ -105,16 +106,6 @@ def coded_labels(rows: DataFrame, trial_id: str, stimulus: str, b: int, seed: in
     return checkpointed(label_arrays(coded, trial_id, "_code", b, seed)), codes.count()
 
 
-def _distinct_cells(cells: pa.StructArray) -> tuple[pa.StructArray, np.ndarray]:
-    """Distinct structs and the place of each struct among them."""
-    code = np.zeros(len(cells), np.int64)
-    for field in cells.flatten():
-        part = field.dictionary_encode(null_encoding="encode")
-        code = np.unique(code * max(len(part.dictionary), 1) + part.indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
-    _, first, place = np.unique(code, return_index=True, return_inverse=True)
-    return cells.take(pa.array(first)), place
-
-
 def surrogate_counts(rows: DataFrame, keys: Sequence[str], response: str, trial_id: str, labels: DataFrame, b: int, stimuli: int, held: int = 8_000_000) -> DataFrame:
     """Counts ``n`` of (keys, b, response, code) under each permutation of ``coded_labels``.
 
@@ -128,14 +119,14 @@ def surrogate_counts(rows: DataFrame, keys: Sequence[str], response: str, trial_
     wide = stimuli + 1
 
     def counted(cells: pa.StructArray, trial: np.ndarray, drawn: np.ndarray) -> tuple[pa.StructArray, np.ndarray]:
-        kinds, place = _distinct_cells(cells)
+        kinds, place = distinct_cells(cells)
         table = np.empty((len(kinds), b, wide), np.int64)
         for k in range(b):
             table[:, k] = np.bincount(place * wide + drawn[trial, k], minlength=len(kinds) * wide).reshape(-1, wide)
         return kinds, table
 
     def merged(parts: list) -> tuple[pa.StructArray, np.ndarray]:
-        kinds, place = _distinct_cells(pa.concat_arrays([p[0] for p in parts]))
+        kinds, place = distinct_cells(pa.concat_arrays([p[0] for p in parts]))
         table = np.zeros((len(kinds), b, wide), np.int64)
         np.add.at(table, place, np.concatenate([p[1] for p in parts]))
         return kinds, table
@@ -181,15 +172,18 @@ def mi_by_key(
 ) -> DataFrame:
     """MI between response and stimulus per key by any of the three estimators (``shuffle`` needs unique trial ids).
 
-    ``labels``: the ``coded_labels`` of the trials where they exist already.
+    ``labels``: the ``coded_labels`` of the trials where they exist already. Without them permutations are made a few at a time.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
     if method != "shuffle":
         return mutual_information(joint_histogram(rows, response, stimulus, keys), response, stimulus, keys, method=method)
     observed = mutual_information(joint_histogram(rows, response, stimulus, keys), response, stimulus, keys)
-    drawn, stimuli = labels or coded_labels(rows, trial_id, stimulus, b, seed)
-    spread = mutual_information(surrogate_counts(rows, keys, response, trial_id, drawn, b, stimuli), response, "code", [*keys, "b"])
+    judged = lambda counts: mutual_information(counts, response, "code", [*keys, "b"])
+    if labels:
+        spread = judged(surrogate_counts(rows, keys, response, trial_id, labels[0], b, labels[1]))
+    else:
+        spread = permuted(rows, keys, response, trial_id, stimulus, b, seed, judged)
     if not keys:
         return observed.crossJoin(spread.agg(F.avg("mi").alias("_s"))).select((F.col("mi") - F.col("_s")).alias("mi"))
     means = spread.groupBy(*keys).agg(F.avg("mi").alias("_s"))
